@@ -26,3 +26,23 @@ def worker_cache() -> dict:
     if holder is None:
         holder = sys.modules["_millrace_worker"] = types.ModuleType("_millrace_worker")
     return holder.__dict__
+
+
+def share(spark, value):
+    """Broadcast ``value`` by value; the function returned gives it in a worker.
+
+    A worker unpickles it once.  What is shared must be of a bounded size.
+    """
+    import uuid
+
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    name = uuid.uuid4().hex
+
+    def get():
+        cache = worker_cache()
+        held = cache.get("shared")
+        if held is None or held[0] != name:
+            cache["shared"] = held = (name, cloudpickle.loads(shared.value))
+        return held[1]
+
+    return get
