@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import crossparse, lines, pii, rans, simhash, toxicity
+from millrace.llm import crossparse, lines, packing, pii, rans, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -50,3 +50,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crossparse.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
