@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import crossparse, lines, media, packing, pii, rans, simhash, toxicity
+from millrace.llm import crossparse, decontaminate, lines, media, packing, pii, rans, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -62,3 +62,8 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's film (``media.text_movies``), read back as a media column."""
     films = media.text_movies(_table(spark, sf_dir, "documents"))
     return media.inspect(films, "doc_id", "media").withColumnRenamed("media_id", "doc_id")
+
+
+@_query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
