@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import crossparse, decontaminate, lines, media, packing, pii, rans, simhash, toxicity
+from millrace.llm import crossparse, decontaminate, language, lines, media, packing, pii, rans, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -67,3 +67,8 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.corpus_languages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages"))
