@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 DAY_MICROS = 86_400_000_000
 _TOKENS = {"YYYY": "yyyy", "YY": "yy", "MM": "MM", "DDD": "DDD", "DD": "dd", "HH24": "HH", "HH12": "hh", "HH": "HH", "MI": "mm", "SS": "ss"}
-_PERCENT = {"Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "H": "HH", "I": "hh", "M": "mm", "S": "ss", "j": "DDD", "b": "MMM", "B": "MMMM", "a": "EEE", "A": "EEEE", "p": "a", "f": "SSSSSS", "F": "yyyy-MM-dd", "T": "HH:mm:ss", "%": "%"}
+_PERCENT = {"Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "H": "HH", "I": "hh", "M": "mm", "S": "ss", "j": "DDD", "b": "MMM", "B": "MMMM", "a": "EEE", "A": "EEEE", "p": "a", "f": "SSSSSS", "F": "yyyy-MM-dd", "T": "HH:mm:ss", "%": ""}
 
 
 def _c(x) -> Column:
@@ -124,30 +124,37 @@ def last_day(x) -> Column:
     return F.last_day(_c(x))
 
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'" if text else ""
+
+
 def char_pattern(fmt: str) -> str:
-    """Spark's pattern for YYYY, MM, DD, HH24, MI, SS."""
-    out, i, names = "", 0, sorted(_TOKENS, key=len, reverse=True)
+    """Spark's pattern for YYYY, MM, DD, HH24, MI, SS; other letters stand for themselves."""
+    out, plain, i, names = "", "", 0, sorted(_TOKENS, key=len, reverse=True)
     while i < len(fmt):
-        for t in names:
-            if fmt.startswith(t, i):
-                out, i = out + _TOKENS[t], i + len(t)
-                break
+        token = next((t for t in names if fmt.startswith(t, i)), None)
+        if token:
+            out, plain, i = out + _literal(plain) + _TOKENS[token], "", i + len(token)
         else:
-            out, i = out + ("'" + fmt[i] + "'" if fmt[i].isalpha() else fmt[i]), i + 1
-    return out
+            plain, i = plain + fmt[i], i + 1
+    return out + _literal(plain)
 
 
 def percent_pattern(fmt: str) -> str:
     """Spark's pattern for C's percent tokens."""
-    out, i = "", 0
+    out, plain, i = "", "", 0
     while i < len(fmt):
         if fmt[i] == "%" and i + 1 < len(fmt):
             if fmt[i + 1] not in _PERCENT:
                 raise ValueError(f"unknown token %{fmt[i + 1]}")
-            out, i = out + _PERCENT[fmt[i + 1]], i + 2
+            if fmt[i + 1] == "%":
+                plain += "%"
+            else:
+                out, plain = out + _literal(plain) + _PERCENT[fmt[i + 1]], ""
+            i += 2
         else:
-            out, i = out + ("'" + fmt[i] + "'" if fmt[i].isalpha() else fmt[i]), i + 1
-    return out
+            plain, i = plain + fmt[i], i + 1
+    return out + _literal(plain)
 
 
 def to_char(x, fmt: str) -> Column:

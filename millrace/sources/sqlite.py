@@ -65,7 +65,7 @@ class SqliteReader(DataSourceReader):
         with closing(sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)) as db:
             low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {quoted(self.table)}").fetchone()
         if low is None:
-            return []
+            return [Rows(0, 0)]
         step = -(-(high - low + 1) // self.pieces)
         return [Rows(a, min(a + step, high + 1)) for a in range(low, high + 1, step)]
 
