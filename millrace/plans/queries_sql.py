@@ -77,7 +77,7 @@ _AGG = {
     "agg_covar": ("round(covar_pop(l_quantity, l_extendedprice), 2) AS a, round(covar_samp(l_quantity, l_extendedprice), 2) AS b", None),
     "agg_corr": ("round(corr(l_quantity, l_extendedprice), 8) AS a", None),
     "agg_regr": ("regr_count(l_extendedprice, l_quantity) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS s, round(regr_intercept(l_extendedprice, l_quantity), 2) AS i, round(regr_r2(l_extendedprice, l_quantity), 8) AS r", "CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS s, round(regr_intercept(l_extendedprice, l_quantity), 2) AS i, round(regr_r2(l_extendedprice, l_quantity), 8) AS r"),
-    "agg_arg_min_max": ("arg_min(l_linenumber, l_orderkey * 10 + l_linenumber) AS a, arg_max(l_partkey, l_orderkey * 10 + l_linenumber) AS b", None),
+    "agg_arg_min_max": ("arg_min(l_linenumber, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) AS a, arg_max(l_partkey, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) AS b", None),
     "agg_bool": ("bool_and(l_quantity > 0) AS a, bool_or(l_quantity > 49) AS b, bool_and(l_discount > 0.01) AS c", None),
     "agg_distinct": ("count(DISTINCT l_suppkey) AS a, sum(DISTINCT l_linenumber) AS b", "count(DISTINCT l_suppkey) AS a, CAST(sum(DISTINCT l_linenumber) AS BIGINT) AS b"),
     "agg_filter": ("count(*) FILTER (WHERE l_quantity > 25) AS a, round(sum(l_extendedprice) FILTER (WHERE l_discount > 0.05), 2) AS b", None),
