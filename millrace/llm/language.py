@@ -2,8 +2,10 @@
 
 Text: character trigrams under a smoothed model of each language, trained on a
 bounded, seeded sample of labelled documents (``per_language``), against a background
-of independent characters ("und": no known language).  Log-likelihoods are tempered,
-since trigrams aren't independent.
+of independent characters ("und": no known language).  A text may switch: each segment
+of it comes from another of the models with a small probability, so a quoted passage or
+a key costs its language little.  Log-likelihoods are tempered, since trigrams aren't
+independent.
 
 Declared language, address suffix and path: how often each value goes with each text
 language, counted over all rows.  Host: the share of each language on the host,
@@ -31,7 +33,10 @@ BUCKETS = 1 << 17
 PER_LANGUAGE = 400
 LEAST_EXAMPLES = 5
 MAX_LANGUAGES = 64
-TEMPER = 0.1
+TEMPER = 0.5
+#: Trigrams of a segment, and the probability that it isn't of the text's language.
+SEGMENT = 32
+SWITCH = 0.05
 SMOOTHING = 0.5
 #: Weight of the parent level, in rows.
 KAPPA = 20.0
@@ -91,10 +96,18 @@ class Model:
         grams, middle = trigrams(text)
         if not len(grams):
             return None
-        total = np.zeros(len(self.languages) + 1)
-        for at in range(0, len(grams), 65536):
-            total[:-1] += self.trigram[grams[at : at + 65536]].sum(axis=0, dtype=np.float64)
-            total[-1] += self.single[middle[at : at + 65536]].sum(dtype=np.float64)
+        n = len(self.languages)
+        total = np.zeros(n + 1)
+        for at in range(0, len(grams), SEGMENT * 2048):
+            part, own = grams[at : at + SEGMENT * 2048], middle[at : at + SEGMENT * 2048]
+            cuts = np.arange(0, len(part), SEGMENT)
+            sums = np.empty((len(cuts), n + 1))
+            sums[:, :-1] = np.add.reduceat(self.trigram[part], cuts, axis=0)
+            sums[:, -1] = np.add.reduceat(self.single[own], cuts)
+            most = sums.max(axis=1, keepdims=True)
+            raised = np.exp(sums - most)
+            rest = raised.sum(axis=1, keepdims=True) - raised
+            total += (np.log((1 - SWITCH) * raised + SWITCH / max(n, 1) * rest + 1e-300) + most).sum(axis=0)
         total *= TEMPER
         return total - total.max()
 
