@@ -39,10 +39,11 @@ def share(spark, value):
     name = uuid.uuid4().hex
 
     def get():
-        cache = worker_cache()
-        held = cache.get("shared")
-        if held is None or held[0] != name:
-            cache["shared"] = held = (name, cloudpickle.loads(shared.value))
-        return held[1]
+        held = worker_cache().setdefault("shared", {})
+        if name not in held:
+            while len(held) >= 4:
+                del held[next(iter(held))]
+            held[name] = cloudpickle.loads(shared.value)
+        return held[name]
 
     return get
