@@ -43,13 +43,17 @@ def text_key(text: Column) -> Column:
     )
 
 
+#: Rows that a Python function sees at once: its objects, not Arrow's buffers, fill a worker.
+ROWS_AT_ONCE = 1000
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` of a function from batch to batch (None: no rows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                out = fn(batch.slice(at, ROWS_AT_ONCE))
                 if out is not None and out.num_rows:
                     yield out
 

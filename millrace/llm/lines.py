@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from millrace.llm.common import fresh, map_batches, quoted, sorted_runs
 from millrace.plans.lineage import working_table
+from millrace.plans.shipping import worker_cache
 
 LEADING = 3
 MIN_TOKENS = 4
@@ -114,7 +115,9 @@ def _line_table(texts: DataFrame, min_tokens: int, leading: int) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         leaf, h1, h2, sig, doc = [], [], [], [], []
-        cache: dict[str, int] = {}
+        cache = worker_cache().setdefault("line_bytes", {})
+        if len(cache) > 200_000:
+            cache.clear()
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for line in set(text.split("\n")):
                 tokens = line.split()

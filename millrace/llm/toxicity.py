@@ -69,7 +69,7 @@ class TermIds(dict):
 
     def __missing__(self, word: str) -> tuple:
         found = tuple(self.bases[t] for t in term_names(word) if t in self.bases)
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = found
         return found
