@@ -211,7 +211,7 @@ class Evidence:
         add = lambda keys: hosts.groupBy(*keys).agg(F.array(*[F.sum(F.col("c")[j]) for j in range(n)]).alias("c"))
         by_suffix = add(["suffix"]).select("suffix", _shrink(F.col("c"), root).alias("up"))
         by_domain = add(["domain", "suffix"]).join(by_suffix, "suffix").select("domain", _shrink(F.col("c"), F.col("up")).alias("up"))
-        self.hosts = working_table(hosts.join(by_domain, "domain").select(F.col("host").alias("key"), "c", "up"), "language-hosts")
+        self.hosts = working_table(hosts.join(by_domain, "domain").select(F.col("host").alias("key"), "c", "up", F.aggregate("c", F.lit(0.0), lambda a, x: a + x).alias("n")), "language-hosts")
         self.values = {name: working_table(self._likelihoods(_tally(levels, [name], n), name, n), "language-" + name) for name in ("declared", "suffix", "path")}
         self.spark = spark
 
@@ -234,28 +234,26 @@ class Evidence:
         ``columns`` names the columns of scores, top, declared, host and path.
         """
         n, names = self.n, columns
-        taken = fresh(rows, "key", "c", "up", "l0", "l1", "l2", "total", "dom")
-        key, c, up, *logs, total, _ = taken
+        key, c, up, rows_of_host, *logs, total = fresh(rows, "key", "c", "up", "n", "l0", "l1", "l2", "total")
         host = F.col(names["host"])
-        joined = rows.join(_sized(self.hosts.select(F.col("key").alias(key), F.col("c").alias(c), F.col("up").alias(up))), host == F.col(key), "left").drop(key)
+        joined = rows.join(_sized(self.hosts.select(F.col("key").alias(key), F.col("c").alias(c), F.col("up").alias(up), F.col("n").alias(rows_of_host))), host == F.col(key), "left").drop(key)
         values = {"declared": F.col(names["declared"]), "suffix": suffix(host), "path": F.col(names["path"])}
         for log, (name, value) in zip(logs, values.items()):
             table = self.values[name].select(F.col("key").alias(key), F.col("l").alias(log))
             joined = joined.join(_sized(table), value == F.col(key), "left").drop(key)
         root = F.array(*[F.lit(x) for x in self.corpus])
-        ones = F.array(*[(F.col(names["top"]) == j).cast("double") for j in range(n)])
-        others = F.zip_with(F.col(c), ones, lambda a, b: F.greatest(a - b, F.lit(0.0)))
-        prior = F.coalesce(_shrink(others, F.col(up)), root)
-        zero = F.array(*[F.lit(0.0)] * n)
-        parts = [F.coalesce(F.col(names["scores"]), zero), *(F.coalesce(F.col(x), zero) for x in logs)]
-        logit = F.transform(prior, lambda p: F.log(p + 1e-12))
-        for part in parts:
-            logit = F.zip_with(logit, part, lambda a, b: a + b)
-        joined = joined.withColumn(total, logit)
-        raised = F.transform(F.col(total), lambda x: F.exp(x - F.array_max(F.col(total))))
-        joined = joined.withColumn(total, raised)
+        top, scores = F.col(names["top"]), F.col(names["scores"])
+
+        def logit(j: Column) -> Column:
+            own = F.greatest(F.get(c, j) - (top == j).cast("double"), F.lit(0.0))
+            prior = F.coalesce((own + KAPPA * F.get(up, j)) / (F.col(rows_of_host) - (top >= 0).cast("double") + KAPPA), F.get(root, j))
+            parts = [F.coalesce(F.get(x, j), F.lit(0.0)) for x in (scores, *logs)]
+            return F.log(prior + 1e-12) + parts[0] + parts[1] + parts[2] + parts[3]
+
+        joined = joined.withColumn(total, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), logit))
+        joined = joined.withColumn(total, F.transform(F.col(total), lambda x: F.exp(x - F.array_max(F.col(total)))))
         whole = F.aggregate(F.col(total), F.lit(0.0), lambda a, x: a + x)
-        return joined.withColumn(out, F.transform(F.col(total), lambda x: x / whole)).drop(c, up, *logs, total)
+        return joined.withColumn(out, F.transform(F.col(total), lambda x: x / whole)).drop(c, up, rows_of_host, *logs, total)
 
 
 def suffix(host: Column) -> Column:
