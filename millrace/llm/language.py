@@ -21,7 +21,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,14 +116,18 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language:
     """A model from ``per_language`` documents of each labelled language at most."""
     known = docs.select(F.lower(F.trim(quoted(lang))).alias("lang"), quoted(text).alias("text")).filter("lang is not null and lang <> '' and text is not null and trim(text) <> ''")
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_EXAMPLES).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES).collect()
-    samples: dict[str, list[str]] = {}
-    for row in sorted(sizes, key=lambda r: r.lang):
-        part = known.filter(F.col("lang") == row.lang)
-        # A seeded share of about three times the bound, of which the least hashes stay.
-        hashed = F.xxhash64("text", F.lit(5))
-        if row.n > 3 * per_language:
-            part = part.filter(F.pmod(hashed, F.lit(1_000_000)) < int(3_000_000 * per_language / row.n) + 1)
-        samples[row.lang] = [r.text for r in part.orderBy(hashed, "text").limit(per_language).collect()]
+    if not sizes:
+        return Model({})
+    # One scan takes a seeded share of each language, about three times the bound at
+    # least; of that small sample the least hashes stay.
+    hashed = F.xxhash64("text", F.lit(5))
+    below = F.create_map(*[x for r in sizes for x in (F.lit(r.lang), F.lit(min(1_000_000, int(3_000_000 * per_language / r.n) + 1)))])
+    sample = known.filter(F.pmod(hashed, F.lit(1_000_000)) < below[F.col("lang")]).withColumn("h", hashed)
+    ranked = sample.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("r") <= per_language)
+    samples: dict[str, list[str]] = {r.lang: [] for r in sizes}
+    for r in ranked.orderBy("lang", "r").collect():
+        samples[r.lang].append(r.text)
+    samples = {name: texts for name, texts in samples.items() if texts}
     return Model(samples)
 
 
