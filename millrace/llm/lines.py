@@ -11,20 +11,30 @@ to compare positions.  A leaf that too few documents use is pruned before anythi
 is compared.  In a leaf the templates are found through exact runs of positions: of
 d + 1 runs one must agree whole where d positions at most differ, so no line is held
 against every template.  Texts move once, to meet the hashes of their lines to drop.
+
+With ``passage``, a run of that many words or more that two dissimilar texts share goes
+too, wherever it lies in its lines.  Every window of ``passage`` words holds its least-hashed run of
+GRAM words, so texts that share a window share that run (an anchor).  Texts with
+COPY_ANCHORS of their anchors in common are copies of each other and count as one here.  Only
+texts with an anchor that others have are read again, for the windows around it.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from operator import eq
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from millrace.llm.common import fresh, map_batches, quoted, sorted_runs
+from millrace.llm.simhash import components
 from millrace.plans.lineage import working_table
 from millrace.plans.shipping import worker_cache
 
@@ -33,6 +43,11 @@ MIN_TOKENS = 4
 MIN_DOCS = 3
 SIMILARITY = 0.75
 COPY_SHARE = 0.8
+PASSAGE = 50
+GRAM = 6
+COPY_ANCHORS = 0.3
+_TOKEN = re.compile(r"\S+")
+_BASE = 0x9E3779B97F4A7C15
 
 
 def _variable(token: str) -> bool:
@@ -109,8 +124,57 @@ def recurring(rows: list[tuple[bytes, int, int, int]], similarity: float, min_do
     return [t in enough or len(docs[t]) >= min_docs for t in joined]
 
 
-def _line_table(texts: DataFrame, min_tokens: int, leading: int) -> DataFrame:
-    """(leaf, h1, h2, sig, doc) of the distinct lines of each text."""
+def word_hashes(tokens: list[str]) -> np.ndarray:
+    """64 bits of each token."""
+    import xxhash
+
+    cache = worker_cache().setdefault("passage_words", {})
+    if len(cache) > 200_000:
+        cache.clear()
+    out = []
+    for t in tokens:
+        h = cache.get(t)
+        if h is None:
+            h = cache[t] = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))
+        out.append(h)
+    return np.array(out, np.uint64)
+
+
+def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each run of ``length`` words: a polynomial, by Horner's rule in doubling steps."""
+    if len(words) < length:
+        return np.zeros(0, np.uint64)
+    done, value, half, step, base, left = 0, None, words, 1, _BASE, length  # half: runs of ``step`` words
+    while left:
+        if left & 1:
+            if value is None:
+                value = half
+            else:
+                n = len(words) - done - step + 1
+                value = value[:n] * np.uint64(base) + half[done : done + n]
+            done += step
+        left >>= 1
+        if left:
+            half = half[: len(half) - step] * np.uint64(base) + half[step:]
+            base, step = base * base & (1 << 64) - 1, step * 2
+    value = value ^ (value >> np.uint64(32))
+    value = value * np.uint64(0xD6E8FEB86659FD93)
+    return value ^ (value >> np.uint64(32))
+
+
+def anchors(words: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each run of GRAM words, place of the least one in each window of ``passage`` words)."""
+    grams = run_hashes(words, min(GRAM, passage))
+    width = passage - min(GRAM, passage) + 1
+    if len(grams) < width:
+        return grams, np.array([grams.argmin()] if len(grams) else [], np.int64)
+    wide = np.lib.stride_tricks.sliding_window_view(grams, width)
+    places = [wide[at : at + 65536].argmin(axis=1) for at in range(0, len(wide), 65536)]
+    return grams, np.concatenate(places) + np.arange(len(wide))
+
+
+def _line_table(texts: DataFrame, min_tokens: int, leading: int, passage: int | None) -> DataFrame:
+    """(leaf, h1, h2, sig, doc) of the distinct lines of each text, and with a null leaf its anchors (h1)."""
     import xxhash
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -135,14 +199,69 @@ def _line_table(texts: DataFrame, min_tokens: int, leading: int) -> DataFrame:
                 h2.append((joined & ((1 << 64) - 1)) - (1 << 63))
                 sig.append(bytes(signature))
                 doc.append(key)
+            if passage is None:
+                continue
+            grams, places = anchors(word_hashes(text.split()), passage)
+            own = np.unique(grams[places]).view(np.int64).tolist()
+            leaf += [None] * len(own)
+            h1 += own
+            h2 += [None] * len(own)
+            sig += [None] * len(own)
+            doc += [key] * len(own)
         return pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary()), pa.array(doc, pa.int64())], names=["leaf", "h1", "h2", "sig", "doc"])
 
     return map_batches(texts, run, "leaf long, h1 long, h2 long, sig binary, doc long")
 
 
-def boilerplate(texts: DataFrame, similarity: float, min_docs: int, min_tokens: int, leading: int) -> DataFrame:
-    """(doc, drop): for each text key the hashes of its lines to drop."""
-    lines = working_table(_line_table(texts, min_tokens, leading), "line-hashes")
+def copies(marks: DataFrame) -> DataFrame:
+    """(doc, vote): the text as whose copy a text counts, for texts (doc) with anchors (h1) that have one.
+
+    Each text is held against the first holder of its anchors and the holder before
+    it; two that share COPY_ANCHORS of the anchors of either are in one group.
+    """
+    holders = Window.partitionBy("h1").orderBy("doc")
+    others = marks.select("doc", F.min("doc").over(holders).alias("a"), F.lag("doc").over(holders).alias("b")).filter("b is not null")
+    others = others.select("doc", F.explode(F.array_distinct(F.array("a", "b"))).alias("other"))
+    shared = others.groupBy("doc", "other").agg(F.count(F.lit(1)).alias("n"))
+    sizes = marks.groupBy("doc").agg(F.count(F.lit(1)).alias("size"))
+    known = shared.join(sizes, "doc").join(sizes.select(F.col("doc").alias("other"), F.col("size").alias("size_other")), "other")
+    edges = known.filter(F.col("n") >= COPY_ANCHORS * F.greatest("size", "size_other")).select(F.col("doc").alias("a"), F.col("other").alias("b"))
+    return components(edges).select(F.col("fp").alias("doc"), F.col("root").alias("vote"))
+
+
+def shared_passages(texts: DataFrame, marks: DataFrame, passage: int) -> DataFrame:
+    """(doc, passages): for each text key the hashes of its windows that a dissimilar text has too."""
+    votes = working_table(copies(marks), "line-votes")
+
+    def of_several(rows: DataFrame, h: str) -> DataFrame:
+        voted = rows.join(votes, "doc", "left").withColumn("vote", F.coalesce("vote", "doc"))
+        several = voted.groupBy(h).agg(F.min("vote").alias("a"), F.max("vote").alias("b")).filter("a <> b").select(h)
+        return rows.join(several, h)
+
+    wanted = of_several(marks, "h1").groupBy("doc").agg(F.collect_list("h1").alias("marks"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        wins, doc = [], []
+        for key, text, own in zip(*(c.to_pylist() for c in batch.columns)):
+            words = word_hashes(text.split())
+            if len(words) < passage:
+                continue
+            grams, places = anchors(words, passage)
+            known = np.isin(grams[places].view(np.int64), np.array(own, np.int64))
+            found = np.unique(run_hashes(words, passage)[known].view(np.int64))
+            wins.append(found)
+            doc.append(np.full(len(found), key, np.int64))
+        empty = [np.zeros(0, np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(wins or empty)), pa.array(np.concatenate(doc or empty))], names=["win", "doc"])
+
+    windows = working_table(map_batches(texts.join(wanted, "doc").select("doc", "text", "marks").dropDuplicates(["doc"]), run, "win long, doc long"), "line-windows")
+    return of_several(windows, "win").groupBy("doc").agg(F.collect_list("win").alias("passages"))
+
+
+def boilerplate(texts: DataFrame, similarity: float, min_docs: int, min_tokens: int, leading: int, passage: int | None) -> DataFrame:
+    """(doc, drop, passages): for each text key the hashes of its lines and passages to drop."""
+    table = working_table(_line_table(texts, min_tokens, leading, passage), "line-hashes")
+    lines, marks = table.filter("leaf is not null"), table.filter("leaf is null").select("h1", "doc").distinct()
     busy = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b")).filter((F.col("n") >= min_docs) & (F.col("a") != F.col("b"))).select("leaf")
     kept = lines.join(busy, "leaf").groupBy("leaf", "h1", "h2", "sig", "doc").agg(F.lit(1).alias("one"))
     kept = working_table(kept.drop("one"), "line-leaves")
@@ -167,14 +286,37 @@ def boilerplate(texts: DataFrame, similarity: float, min_docs: int, min_tokens:
             yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], names=["h1", "h2"])
 
     gone = distinct.repartition("leaf").sortWithinPartitions("leaf", "h1", "h2").mapInArrow(cluster, "h1 long, h2 long")
-    return kept.join(gone, ["h1", "h2"]).groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
+    drops = kept.join(gone, ["h1", "h2"]).groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
+    if passage is None:
+        return drops.withColumn("passages", F.lit(None).cast("array<bigint>"))
+    return drops.join(shared_passages(texts, marks, passage), "doc", "full")
+
 
+def in_passage(words: np.ndarray, windows: list[int], passage: int) -> np.ndarray:
+    """Whether each word lies in one of the windows."""
+    hit = np.isin(run_hashes(words, passage).view(np.int64), np.array(windows, np.int64))
+    edges = np.zeros(len(words) + 1, np.int64)
+    edges[: len(hit)] += hit
+    edges[passage : passage + len(hit)] -= hit
+    return np.cumsum(edges)[:-1] > 0
 
-def _cleaned(batch_texts: list, batch_drops: list, min_tokens: int, copy_share: float) -> tuple[list, list, list]:
+
+def _without(line: str, gone: list[bool]) -> str:
+    """A line without some of its words; each goes with the space after it."""
+    out, at = [], 0
+    spans = [m.span() for m in _TOKEN.finditer(line)]
+    for i, (start, _) in enumerate(spans):
+        if gone[i]:
+            out.append(line[at:start])
+            at = spans[i + 1][0] if i + 1 < len(spans) else len(line)
+    return "".join([*out, line[at:]]).rstrip() if gone[-1] else "".join([*out, line[at:]])
+
+
+def _cleaned(batch_texts: list, batch_drops: list, batch_passages: list, min_tokens: int, copy_share: float, passage: int | None) -> tuple[list, list, list]:
     import xxhash
 
     texts, counts, dropped = [], [], []
-    for text, drop in zip(batch_texts, batch_drops):
+    for text, drop, windows in zip(batch_texts, batch_drops, batch_passages):
         if text is None:
             texts.append(None)
             counts.append(0)
@@ -182,20 +324,26 @@ def _cleaned(batch_texts: list, batch_drops: list, min_tokens: int, copy_share:
             continue
         lines = text.split("\n")
         counts.append(len(lines))
-        if not drop:
+        if not drop and not windows:
             texts.append(text)
             dropped.append(0)
             continue
-        gone = {(d["h1"], d["h2"]) for d in drop}
+        gone = {(d["h1"], d["h2"]) for d in drop or ()}
+        spliced = in_passage(word_hashes(text.split()), windows, passage).tolist() if windows else None
         kept, lost, total = [], 0, 0
         for line in lines:
             tokens = line.split()
+            marked = spliced[total : total + len(tokens)] if spliced else []
             total += len(tokens)
             if len(tokens) >= min_tokens:
                 h = xxhash.xxh128_intdigest(" ".join(tokens).encode("utf-8", "surrogatepass"))
                 if ((h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)) in gone:
                     lost += len(tokens)
                     continue
+            if any(marked):
+                if all(marked):
+                    continue
+                line = _without(line, marked)
             kept.append(line)
         if lost >= copy_share * total:
             texts.append(text)
@@ -206,13 +354,14 @@ def _cleaned(batch_texts: list, batch_drops: list, min_tokens: int, copy_share:
     return texts, counts, dropped
 
 
-def drop_recurring(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, leading: int = LEADING, copy_share: float = COPY_SHARE, counts: bool = False) -> DataFrame:
-    """The documents with recurring lines dropped; all columns kept.
+def drop_recurring(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, leading: int = LEADING, copy_share: float = COPY_SHARE, counts: bool = False, passage: int | None = None) -> DataFrame:
+    """The documents with recurring lines and passages dropped; all columns kept.
 
     Documents of the same text count once, so exact copies make nothing recur.  A
     document of whose tokens ``copy_share`` or more would go is a copy as a whole
     and stays as it is, for a near-duplicate step to judge.  Lines of fewer than
-    ``min_tokens`` tokens stay.  ``min_docs`` is 2 or 3.  With ``counts`` two columns
+    ``min_tokens`` tokens stay.  With ``passage``, runs of that many words that a text
+    shares with one that isn't its copy go, also within a line.  ``min_docs`` is 2 or 3.  With ``counts`` two columns
     more say how many lines the document had (``n_lines``) and lost (``n_dropped``).
 
     Defined results: null and empty texts stay as they are; decisions rest on texts
@@ -222,14 +371,14 @@ def drop_recurring(docs: DataFrame, text: str = "text", similarity: float = SIMI
     """
     if min_docs not in (2, 3):
         raise ValueError("min_docs is 2 or 3: a line keeps the least and greatest of its documents")
-    key, drop = fresh(docs, "key", "drop")
+    key, drop, spliced = fresh(docs, "key", "drop", "passages")
     keyed = docs.withColumn(key, F.xxhash64(quoted(text)))
     texts = keyed.filter(quoted(text).isNotNull()).select(F.col(key).alias("doc"), quoted(text).alias("text"))
-    drops = boilerplate(texts, similarity, min_docs, min_tokens, leading).withColumnsRenamed({"doc": key, "drop": drop})
-    return _apply(keyed.join(drops, key, "left"), docs, text, drop, min_tokens, copy_share, counts)
+    drops = boilerplate(texts, similarity, min_docs, min_tokens, leading, passage).withColumnsRenamed({"doc": key, "drop": drop, "passages": spliced})
+    return _apply(keyed.join(drops, key, "left"), docs, text, drop, spliced, min_tokens, copy_share, counts, passage)
 
 
-def _apply(joined: DataFrame, docs: DataFrame, text: str, drop: str, min_tokens: int, copy_share: float, counts: bool) -> DataFrame:
+def _apply(joined: DataFrame, docs: DataFrame, text: str, drop: str, spliced: str, min_tokens: int, copy_share: float, counts: bool, passage: int | None) -> DataFrame:
     names = docs.columns
     position = names.index(text)
     fields = [*docs.schema.fields]
@@ -238,14 +387,15 @@ def _apply(joined: DataFrame, docs: DataFrame, text: str, drop: str, min_tokens:
         fields += [T.StructField("n_lines", T.IntegerType()), T.StructField("n_dropped", T.IntegerType())]
     schema = T.StructType(fields)
     # Plain rows pass by; only documents that lose a line go through Python.
-    touched = joined.filter(F.col(drop).isNotNull()).select(*[quoted(c) for c in names], F.col(drop))
-    plain = joined.filter(F.col(drop).isNull()).select(*[quoted(c) for c in names])
+    loses = F.col(drop).isNotNull() | F.col(spliced).isNotNull()
+    touched = joined.filter(loses).select(*[quoted(c) for c in names], F.col(drop), F.col(spliced))
+    plain = joined.filter(~loses).select(*[quoted(c) for c in names])
     if counts:
         plain = plain.withColumn("n_lines", F.when(quoted(text).isNull(), 0).otherwise(F.size(F.split(quoted(text), "\n", -1)))).withColumn("n_dropped", F.lit(0))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         columns = [batch.column(i) for i in range(len(names))]
-        texts, n, gone = _cleaned(columns[position].to_pylist(), batch.column(len(names)).to_pylist(), min_tokens, copy_share)
+        texts, n, gone = _cleaned(columns[position].to_pylist(), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), min_tokens, copy_share, passage)
         columns[position] = pa.array(texts, pa.string())
         labels = list(names)
         if counts:

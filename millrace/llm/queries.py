@@ -39,7 +39,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.drop_recurring(docs, counts=True)
+    return lines.drop_recurring(docs, counts=True, passage=lines.PASSAGE)
 
 
 @_query

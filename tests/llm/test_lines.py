@@ -85,3 +85,25 @@ def test_table_against_brute_force(spark, sf):
         lost = sum(len(h[3]) for _, h in hashed if h and h[1:] in gone)
         total = len(text.split())
         assert got[d] == (text if total and lost >= lines.COPY_SHARE * total else "\n".join(kept)), d
+
+
+def test_passages_within_lines_of_two_documents(spark):
+    rng = random.Random(7)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passage, short, own = words(55), words(49), [words(90) for _ in range(8)]
+    folded = "\n".join([" ".join(passage.split()[:20]), " ".join(passage.split()[20:])])
+    copy = words(300)
+    near = copy.split()
+    near[150] = "changed"
+    rows = [
+        (0, f"{own[0]} {passage} {own[1]}\n{own[2]}", "k", 0),
+        (1, f"{own[3]}\n{own[4]} {folded} {own[5]}", "k", 1),
+        (2, f"{own[6]} {short} x", "k", 2),
+        (3, f"{own[7]} {short} y", "k", 3),
+        (4, copy, "k", 4),
+        (5, " ".join(near), "k", 5),
+    ]
+    got = {r.doc_id: r.text for r in lines.drop_recurring(_docs(spark, rows), passage=lines.PASSAGE).collect()}
+    assert got[0] == f"{own[0]} {own[1]}\n{own[2]}"
+    assert got[1] == f"{own[3]}\n{own[4]}\n{own[5]}"
+    assert all(got[d] == rows[d][1] for d in (2, 3, 4, 5))
