@@ -103,3 +103,58 @@ def test_every_clean_document_stays(spark, sf):
     assert np.mean([r.accepted for r in of_docs]) >= 0.995 and np.mean([r.language == r.declared for r in of_docs]) >= 0.99
     of_pages = [r for r in out if r.page_id is not None]
     assert np.mean([r.language == r.declared for r in of_pages]) >= 0.98
+
+
+def test_no_language_is_lost_to_copies_or_counts(spark):
+    rng = random.Random(4)
+    letters = "bcdfghjklmnpqrstvwxz"
+    rows = [(i, "un seul texte de tous", "fr-CA", "s", "k") for i in range(3000)]
+    rows += [(i, _make(rng, letters[:5], 20), "en_GB", "s", "k") for i in range(300)]
+    rows += [(i, _make(rng, letters[5:9], 20), "eng", "s", "k") for i in range(3)]
+    rows += [(i, _make(rng, letters[i % 20] + letters[i // 20] + "hk", 20), f"q{chr(97 + i // 26)}{chr(97 + i % 26)}", "s", "k") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, key string")
+    model = lid.train(docs)
+    assert {"fr", "en"} < set(model.languages) and len(model.languages) == 82
+    kept = Counter(r.lang for r in lid.keep_identified(docs).collect())
+    assert kept["fr-CA"] == 3000 and kept["en_GB"] == 300 and len(kept) >= 82
+
+
+def test_a_language_of_one_text_takes_no_junk(spark):
+    docs, truth, kinds, rng = _tables(spark)
+    rare = spark.createDataFrame([(999, _make(rng, "hjqwx", 12), "rare", "s", "k")], docs.schema)
+    both = docs.union(rare)
+    junk = [(i, "".join(rng.choice("ÀÉÎÕÜßñçøåþ") for _ in range(200)), None, None, None) for i in range(10)]
+    rows = spark.createDataFrame(junk, "doc_id long, text string, declared string, host string, path string")
+    model = lid.train(both)
+    assert "rare" in model.languages and not any(r.accepted for r in lid.identify(rows, model, ["doc_id"]).collect())
+    assert {r.doc_id for r in lid.keep_identified(both).collect()} == set(truth) | {999}
+
+
+def test_trigram_likelihoods_against_counts(spark):
+    docs, truth, _, _ = _tables(spark)
+    model = lid.train(docs)
+    rows = docs.collect()
+    plain = {name: Counter() for name in sorted(set(truth.values()))}
+    for r in rows:
+        plain[r.lang].update(lid.trigrams(r.text)[0].tolist())
+    used = len(set().union(*plain.values()))
+    most = max(sum(c.values()) for c in plain.values())
+    for j, name in enumerate(model.languages):
+        total = sum(plain[name].values())
+        for gram in set().union(*plain.values()):
+            expected = np.log(plain[name][gram] / (total + used) + 0.5 / (most + used))
+            assert abs(model.trigram[model.row[gram], j] - expected) < 1e-4
+
+
+def test_registered_domains(spark):
+    hosts = [("a.b.co.uk", "b.co.uk"), ("b.co.uk", "b.co.uk"), ("x.y.com", "y.com"), ("com", "com"), ("co.uk", "co.uk"), (None, None)]
+    df = spark.createDataFrame(hosts, "host string, expected string")
+    assert all(r.d == r.expected for r in df.select(lid.domain(df.host).alias("d"), "expected").collect())
+
+
+def test_string_ids(spark):
+    docs, _, _, _ = _tables(spark)
+    docs = docs.selectExpr("concat('d', doc_id) doc_id", "text", "lang", "source")
+    pages = spark.createDataFrame([("p1", "http://h0.x.aa/aa/1", "<html lang=aa><p>bacada fegibo</p>")], "page_id string, url string, html string")
+    out = lid.corpus_languages(docs, pages).collect()
+    assert {r.page_id for r in out} == {None, "p1"} and "d7" in {r.doc_id for r in out}
