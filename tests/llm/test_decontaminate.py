@@ -37,13 +37,14 @@ def brute(docs, items, threshold, least):
                     n = len(q) + len(a)
                     region = w[max(0, start - n) : start + 2 * dc.SEGMENT + n]
                     share = (dc.overlap(q, region), dc.overlap(a, region))
-                    if min(share) >= least:
+                    whole = n >= dc.EXACT_WORDS or n >= dc.LEAST_WORDS and f" {' '.join(q + a)} " in f" {' '.join(region)} "
+                    if whole and min(share) >= least:
                         key = (d, items[i][0])
                         out[key] = max(out.get(key, (0, 0)), (round(score, 6), -start))
     return out
 
 
-@pytest.mark.parametrize("shard", [2048, 9])
+@pytest.mark.parametrize("shard", [65_536, 9])
 def test_against_brute_force(spark, shard):
     rng = random.Random(6)
     pool = ["".join(rng.choice("abcde") for _ in range(rng.randrange(2, 7))) for _ in range(500)]
@@ -84,3 +85,29 @@ def test_planted_items_are_found(spark, sf):
     got = {(r.doc_id, r.item_id) for r in dc.contaminated(docs, bench).collect()}
     exact = {(d.doc_id, b.item_id) for d in docs.collect() for b in bench.collect() if b.text in d.text}
     assert exact <= got and len(got) <= 1.1 * len(exact) + 2
+
+
+def test_short_items_need_their_words(spark):
+    bench = spark.createDataFrame([(1, "yes"), (2, "Is it so? Yes"), (3, "one two three four five. Six seven"), (4, "Answer: no")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "well yes that is it"), (2, "is it so yes indeed"), (3, "and one two three four five six seven go"), (4, "one two three four five and six seven go"), (5, "no no no answer")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in dc.contaminated(docs, bench).collect()} == {(3, 3)}
+    assert dc.overlap([], ["a"]) == 0.0
+
+
+def test_a_large_benchmark_in_one_pass():
+    rng = random.Random(8)
+    pool = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8))) for _ in range(4000)]
+    items = [(i, " ".join(rng.choices(pool, k=25)) + ". " + " ".join(rng.choices(pool, k=6))) for i in range(20_000)]
+    df = Counter(t for _, text in items for s in dc.segments(words(text)) for t in set(s))
+    index = dc.Index(items, df, 20_000, 31.0, dc.THRESHOLD)
+    docs = [rng.choices(pool, k=300) for _ in range(200)]
+    for d in range(0, 200, 4):
+        docs[d][100:100] = words(items[d * 100][1])
+    found = dc.find(index, docs, dc.OVERLAP)
+    assert {(d, i) for d, own in found.items() for i in own} == {(d, d * 100) for d in range(0, 200, 4)}
+
+
+def test_string_ids(spark):
+    item = "alpha beta gamma delta epsilon zeta. eta theta iota kappa lambda mu nu"
+    docs, bench = spark.createDataFrame([("x", item)], "doc_id string, text string"), spark.createDataFrame([("b", item)], "item_id string, text string")
+    assert [tuple(r)[:2] for r in dc.contaminated(docs, bench).collect()] == [("x", "b")]
