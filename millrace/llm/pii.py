@@ -33,7 +33,8 @@ _PHONE = re.compile(r"\+\d{1,3}(?:[ .\-]?(?:\(\d{1,4}\)|\d{1,4}))(?:[ .\-]?\d{2,
 _PHONE_US = re.compile(r"\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|\d{3}[.\-]\d{3}[.\-]\d{4}(?!\d|[.\-]\d)")
 _SSN = re.compile(r"(\d{3})-(\d{2})-(\d{4})(?!\d|-\d)")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_ASSIGNED = re.compile(r"[\w\-]*[\"']?\s{0,3}(?::=|=>|[=:])\s{0,3}(?:\"([^\"\s]{6,})\"|'([^'\s]{6,})'|([^\s\"',;]{6,}))")
+_NAME = re.compile(r"[\w\-]*+")
+_ASSIGNED = re.compile(r"[\"']?\s{0,3}(?::=|=>|[=:])\s{0,3}(?:\"([^\"\s]{6,})\"|'([^'\s]{6,})'|([^\s\"',;]{6,}))")
 _ACCOUNT = re.compile(r"[a-z]*\.?\s{0,3}(?:number|num|no|nr|id|#|n°)?\.?\s{0,3}[:=#]?\s{0,3}(\d(?:[ \-]?\d){5,16})(?!\d)", re.IGNORECASE)
 _KEY = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|ghp_[A-Za-z0-9]{36}(?![A-Za-z0-9])|sk-[A-Za-z0-9_\-]{20,}|xox[abprs]-[A-Za-z0-9\-]{10,}")
 
@@ -67,10 +68,13 @@ def _email(text: str, at: int) -> Found | None:
 
 
 def _url(text: str, at: int) -> Found | None:
-    found, host = _URL.match(text, at), _HOST.match(text, at)
-    if not found or not host or (at and text[at - 1].isalnum()):
+    if at and text[at - 1].isalnum():
+        return None
+    host = _HOST.match(text, at)  # reads to the next slash at most; the rest only follows a sound host
+    if not host or "." not in host[1] and ":" not in host[1] and host[1] != "localhost":
         return None
-    if "." not in host[1] and ":" not in host[1] and host[1] != "localhost":
+    found = _URL.match(text, at)
+    if not found:
         return None
     end = found.end()
     while text[end - 1] in ".,;:!?)]" and end > host.end():
@@ -116,19 +120,23 @@ def _digits(text: str, at: int) -> Found | None:
     return None
 
 
-def _secret(text: str, at: int) -> Found | None:
+def _secret(text: str, at: int) -> Found | int | None:
+    """A secret, or the place before which no other cue can lead to one."""
     if at and text[at - 1].isalpha():
         return None
-    m = _ASSIGNED.match(text, at)
+    name = _NAME.match(text, at)
+    m = _ASSIGNED.match(text, name.end())
     if not m:
-        return None
+        return name.end()  # every cue in this run of letters has the same end
     k = 1 if m[1] else 2 if m[2] else 3
     value, end = m[k], m.end(k)
+    if not any(c.isdigit() for c in value):
+        return end if k == 3 else name.end()
     if k == 3:
         stripped = value.rstrip(".)]}%#$&*!")
         value, end = stripped, end - (len(value) - len(stripped))
-    if len(value) < 6 or not any(c.isdigit() for c in value):
-        return None
+    if len(value) < 6:
+        return name.end()
     return "secret", m.start(k), end
 
 
@@ -175,13 +183,15 @@ def folded(text: str) -> str:
 def find(text: str) -> list[Found]:
     """(kind, start, end) of each finding, in order and without overlaps."""
     out: list[Found] = []
-    done = 0
+    done = barren = 0
     for last, (size, parse) in _automaton().iter(folded(text)):
         at = last - size + 1
-        if at < done:
+        if at < done or (parse is _secret and at < barren):
             continue
         got = parse(text, at)
-        if got and got[1] >= done:
+        if isinstance(got, int):
+            barren = got
+        elif got and got[1] >= done:
             out.append(got)
             done = got[2]
     return out
@@ -202,14 +212,19 @@ def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
             for kind, a, z in find(t) if t else ():
                 for name, value in zip(out, (d, kind, a, z, t[a:z])):
                     out[name].append(value)
-        return pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("start_pos", pa.int32()), ("end_pos", pa.int32()), ("value", pa.string())]))
+        return pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", batch.schema.field(0).type), ("kind", pa.string()), ("start_pos", pa.int32()), ("end_pos", pa.int32()), ("value", pa.string())]))
 
-    rows = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("text"))
-    return map_batches(rows, run, "doc_id long, kind string, start_pos int, end_pos int, value string")
+    rows = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
+    return map_batches(rows, run, f"doc_id {rows.schema[0].dataType.simpleString()}, kind string, start_pos int, end_pos int, value string")
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents with every finding replaced by its kind, as ``[EMAIL]``."""
+    """The documents with every finding replaced by its kind, as ``[EMAIL]``.
+
+    Defined results: null and empty texts stay as they are; other columns aren't read,
+    so nulls in them, ties and repeated rows change nothing; an empty table gives an
+    empty one; clashing names are harmless.  Texts are read whole.
+    """
     from pyspark.sql import functions as F
 
     @F.pandas_udf("string")

@@ -58,3 +58,25 @@ def test_against_brute_force(spark, sf):
     missing = expected - found
     assert not missing, sorted(missing)[:5]
     assert len(found - expected) <= 0.02 * len(found), sorted(found - expected)[:5]
+
+
+def test_repeated_anchors_are_linear():
+    import time
+
+    for unit in ("http://a", "http://a/", "_password", "-password=", "password=x", "pwd:pwd:", "token = ", "ftp://a@", "@a.b", "_account ", "sk-", "a@", "+1 ", "12-", "api_key='", 'secret="a'):
+        text = unit * (1_000_000 // len(unit))
+        began = time.time()
+        pii.find(text)
+        assert time.time() - began < 15, unit
+
+
+def test_a_failed_cue_hides_no_later_secret():
+    assert [k for k, _, _ in pii.find("password_password: hunter22")] == ["secret"]
+    assert [k for k, _, _ in pii.find("password=nodigitshere; token=abc123def")] == ["secret"]
+    assert [k for k, _, _ in pii.find("password='nodigits' pwd='abc123def'")] == ["secret"]
+    assert [k for k, _, _ in pii.find("http://nohost/http://a.example/x")] == ["url"]
+
+
+def test_string_ids(spark):
+    out = pii.detect(spark.createDataFrame([("x", "mail a.b@example.com")], "doc_id string, text string")).collect()
+    assert [(r.doc_id, r.kind) for r in out] == [("x", "email")]
