@@ -22,6 +22,10 @@ FIELDS = [("media_id", pa.int64()), ("status", pa.string()), ("brand", pa.string
 SCHEMA = "media_id long, status string, brand string, track_id long, handler string, codec string, timescale long, duration_s double, width int, height int, n_samples long, media_bytes long, keyframes array<struct<time_s:double,start:long,size:long>>"
 
 
+#: Deepest nesting of containers that the format has, with room to spare.
+MAX_DEPTH = 16
+
+
 class Malformed(ValueError):
     """A box or table contradicts itself or the file's size."""
 
@@ -53,11 +57,19 @@ def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int,
 
 
 def _walk(data: memoryview, start: int, end: int) -> list:
-    """Nested (type, box start, body start, box end, children)."""
-    out = []
-    for kind, at, body, stop in boxes(data, start, end):
-        out.append((kind, at, body, stop, _walk(data, body, stop) if kind in CONTAINERS else []))
-    return out
+    """Nested (type, box start, body start, box end, children), without recursion."""
+    top: list = []
+    waiting = [(start, end, top, 0)]
+    while waiting:
+        first, last, into, depth = waiting.pop()
+        if depth > MAX_DEPTH:
+            raise Malformed("boxes lie too deep in each other")
+        for kind, at, body, stop in boxes(data, first, last):
+            children: list = []
+            into.append((kind, at, body, stop, children))
+            if kind in CONTAINERS:
+                waiting.append((body, stop, children, depth + 1))
+    return top
 
 
 def _child(nodes: list, *path: bytes):
@@ -90,7 +102,9 @@ def _codec(data: memoryview, stsd) -> tuple[str, int | None, int | None]:
     _, _, at = _full(data, stsd)
     if struct.unpack_from(">I", data, at)[0] == 0:
         return "", None, None
-    kind, _, body, stop = next(boxes(data, at + 4, stsd[3]))
+    kind, _, body, stop = next(boxes(data, at + 4, stsd[3]), (None, 0, 0, 0))
+    if kind is None:
+        raise Malformed("a codec entry is missing")
     name, width, height = kind.decode("latin-1"), None, None
     if kind in (b"avc1", b"avc3", b"hvc1", b"hev1", b"av01", b"vp09", b"mp4v", b"encv") and stop - body >= 78:
         width, height = struct.unpack_from(">HH", data, body + 24)
@@ -100,8 +114,18 @@ def _codec(data: memoryview, stsd) -> tuple[str, int | None, int | None]:
     return name, width, height
 
 
-def _sample_table(data: memoryview, stbl: list) -> dict[str, np.ndarray]:
-    """start, size, time and key of each sample."""
+def _total(values: np.ndarray, counts: np.ndarray) -> int:
+    """Sum of products of table entries, in integers of any size."""
+    return sum(v * c for v, c in zip(values.tolist(), counts.tolist()))
+
+
+def _sample_table(data: memoryview, stbl: list) -> dict:
+    """start, size and time of each keyframe; n, bytes and end of all samples.
+
+    Nothing is made of a claimed length: places follow from the tables of chunks and
+    runs.  Where all samples are keyframes of one size, as in uncompressed sound, the
+    samples of a chunk are one range.
+    """
     stsz, stz2 = _child(stbl, b"stsz"), _child(stbl, b"stz2")
     if stsz is not None:
         _, _, at = _full(data, stsz)
@@ -121,8 +145,10 @@ def _sample_table(data: memoryview, stbl: list) -> dict[str, np.ndarray]:
         n, size, fixed = 0, np.zeros(0, np.int64), 0
     stts = _child(stbl, b"stts")
     runs = _table(data, stts, 2) if stts is not None else np.zeros((0, 2), np.int64)
-    if n and runs[:, 0].sum() != n:  # checked before anything of the claimed length is made
+    if n and runs[:, 0].sum() != n:
         raise Malformed("the tables of times and sizes differ in length")
+    if _total(runs[:, 0], runs[:, 1]) >= 1 << 62:
+        raise Malformed("a track lasts too long")
     stco, co64, stsc = _child(stbl, b"stco"), _child(stbl, b"co64"), _child(stbl, b"stsc")
     if stco is not None:
         chunks = _table(data, stco, 1)[:, 0]
@@ -133,36 +159,45 @@ def _sample_table(data: memoryview, stbl: list) -> dict[str, np.ndarray]:
         chunks = np.zeros(0, np.int64)
     if n and (stsc is None or not len(chunks)):
         raise Malformed("samples without chunks")
-    if n:
-        spread = _table(data, stsc, 3)
-        if not len(spread) or spread[0, 0] != 1 or (np.diff(spread[:, 0]) <= 0).any():
-            raise Malformed("chunk runs out of order")
-        ends = np.append(spread[1:, 0], len(chunks) + 1)
-        times = ends - spread[:, 0]
-        if (times < 0).any() or (times * spread[:, 1]).sum() != n or n > 50_000_000:
-            raise Malformed("chunks and samples differ in number")
-        size = np.full(n, fixed, np.int64) if fixed else size
-        per = np.repeat(spread[:, 1], times)
-        first = np.concatenate([[0], np.cumsum(per)[:-1]])
-        before = np.concatenate([[0], np.cumsum(size)])
-        start = np.repeat(chunks - before[first], per) + before[:-1]
-        delta = np.repeat(runs[:, 1], runs[:, 0])
-    else:
-        start = delta = size = np.zeros(0, np.int64)
-    time = np.concatenate([[0], np.cumsum(delta)[:-1]]) if n else delta
+    none = np.zeros(0, np.int64)
+    if not n:
+        return {"start": none, "size": none, "time": none, "n": 0, "bytes": 0, "end": 0}
+    spread = _table(data, stsc, 3)
+    if not len(spread) or spread[0, 0] != 1 or (np.diff(spread[:, 0]) <= 0).any():
+        raise Malformed("chunk runs out of order")
+    times = np.append(spread[1:, 0], len(chunks) + 1) - spread[:, 0]
+    if (times < 0).any() or _total(times, spread[:, 1]) != n:
+        raise Malformed("chunks and samples differ in number")
+    per = np.repeat(spread[:, 1], times)
+    first = np.concatenate([[0], np.cumsum(per)])  # number of each chunk's first sample
+    before = None if fixed else np.concatenate([[0], np.cumsum(size)])
+    begun = np.concatenate([[0], np.cumsum(runs[:, 0])])
+    clock = np.concatenate([[0], np.cumsum(runs[:, 0] * runs[:, 1])])
+
+    def time_of(samples: np.ndarray) -> np.ndarray:
+        run = np.searchsorted(begun, samples, side="right") - 1
+        return clock[run] + (samples - begun[run]) * runs[run, 1]
+
     stss = _child(stbl, b"stss")
-    key = np.ones(n, bool)
+    whole = {"n": n, "bytes": n * fixed if fixed else int(before[-1]), "end": int(clock[-1])}
+    if stss is None and fixed:
+        used = per > 0
+        return {"start": chunks[used], "size": per[used] * fixed, "time": time_of(first[:-1][used])} | whole
+    keys = np.arange(n)
     if stss is not None:
-        numbers = _table(data, stss, 1)[:, 0]
-        if len(numbers) and (numbers.min() < 1 or numbers.max() > n):
+        keys = np.unique(_table(data, stss, 1)[:, 0]) - 1
+        if len(keys) and (keys[0] < 0 or keys[-1] >= n):
             raise Malformed("a keyframe's number lies outside the samples")
-        key = np.zeros(n, bool)
-        key[numbers - 1] = True
-    return {"start": start, "size": size, "time": time, "key": key, "end": time[-1:] + delta[-1:]}
+    chunk = np.searchsorted(first, keys, side="right") - 1
+    inside = (keys - first[chunk]) * fixed if fixed else before[keys] - before[first[chunk]]
+    return {"start": chunks[chunk] + inside, "size": np.full(len(keys), fixed, np.int64) if fixed else size[keys], "time": time_of(keys)} | whole
 
 
 def _fragments(data: memoryview, top: list, defaults: dict[int, tuple]) -> dict[int, list[dict]]:
-    """Samples of movie fragments, by track."""
+    """Keyframes and totals of movie fragments, by track, as ``_sample_table`` has them.
+
+    A run without a table of samples has samples of one size; its keyframes are one range.
+    """
     out: dict[int, list[dict]] = {}
     clock: dict[int, int] = {}
     for moof in (n for n in top if n[0] == b"moof"):
@@ -177,6 +212,8 @@ def _fragments(data: memoryview, top: list, defaults: dict[int, tuple]) -> dict[
             duration, size, mark = defaults.get(track, (0, 0, 0))
             if flags & 1:
                 base, at = struct.unpack_from(">Q", data, at)[0], at + 8
+                if base > len(data):
+                    raise Malformed("a fragment's base lies past the file")
             at += 4 * bool(flags & 2)
             if flags & 8:
                 duration, at = struct.unpack_from(">I", data, at)[0], at + 4
@@ -199,23 +236,51 @@ def _fragments(data: memoryview, top: list, defaults: dict[int, tuple]) -> dict[
                 if flags & 4:
                     first, at = struct.unpack_from(">I", data, at)[0], at + 4
                 present = [b for b in (0x100, 0x200, 0x400, 0x800) if flags & b]
-                if at + 4 * n * len(present) > trun[3] or n > 50_000_000:
+                if at + 4 * n * len(present) > trun[3]:
                     raise Malformed("a run of samples is cut off")
-                cells = np.frombuffer(data, ">u4", n * len(present), at).astype(np.int64).reshape(n, len(present))
-                column = lambda bit, default: cells[:, present.index(bit)] if bit in present else np.full(n, default, np.int64)  # noqa: E731, B023
-                spans, sizes, marks = column(0x100, duration), column(0x200, size), column(0x400, mark).copy()
-                if first is not None and n:
-                    marks[0] = first
                 begin = clock.get(track, 0)
-                time = begin + np.concatenate([[0], np.cumsum(spans)[:-1]]) if n else spans
-                start = place + np.concatenate([[0], np.cumsum(sizes)[:-1]]) if n else sizes
-                clock[track], place = begin + int(spans.sum()), place + int(sizes.sum())
-                out.setdefault(track, []).append({"start": start, "size": sizes, "time": time, "key": (marks & 0x10000) == 0, "end": np.array([clock[track]])})
+                if not present:
+                    sync = [(0, 1)] if first is not None and not first & 0x10000 else []
+                    if not mark & 0x10000:
+                        sync = [(0, n)] if first is None or sync else [(1, n - 1)]
+                    ranges = [(i, k) for i, k in sync if k > 0 and n]
+                    made = {"start": [place + i * size for i, _ in ranges], "size": [k * size for _, k in ranges], "time": [begin + i * duration for i, _ in ranges], "bytes": n * size, "end": begin + n * duration}
+                else:
+                    cells = np.frombuffer(data, ">u4", n * len(present), at).astype(np.int64).reshape(n, len(present))
+                    column = lambda bit, default: cells[:, present.index(bit)] if bit in present else np.full(n, default, np.int64)  # noqa: E731, B023
+                    spans, sizes, marks = column(0x100, duration), column(0x200, size), column(0x400, mark).copy()
+                    if first is not None and n:
+                        marks[0] = first
+                    key = (marks & 0x10000) == 0
+                    shift = lambda x: np.cumsum(x) - x
+                    made = {"start": place + shift(sizes)[key], "size": sizes[key], "time": begin + shift(spans)[key], "bytes": int(sizes.sum()), "end": begin + int(spans.sum())}
+                clock[track], place = made["end"], place + made["bytes"]
+                if place >= 1 << 62 or clock[track] >= 1 << 62:
+                    raise Malformed("a fragment runs past any file")
+                out.setdefault(track, []).append({k: np.asarray(v, np.int64) if k in ("start", "size", "time") else v for k, v in made.items()} | {"n": n})
     return out
 
 
 def parse(blob: bytes) -> tuple[str, list[dict]]:
-    """(major brand, tracks); raises Malformed or struct.error on a broken file."""
+    """(major brand, tracks), keyframes as dicts; raises Malformed on a broken file."""
+    brand, tracks = read(blob)
+    for t in tracks:
+        times, starts, sizes = t["keyframes"]
+        t["keyframes"] = [{"time_s": x, "start": s, "size": z} for x, s, z in zip(times.tolist(), starts.tolist(), sizes.tolist())]
+    return brand, tracks
+
+
+def read(blob: bytes) -> tuple[str, list[dict]]:
+    """(major brand, tracks), keyframes as three arrays; raises Malformed on a broken file."""
+    try:
+        return _read(blob)
+    except Malformed:
+        raise
+    except (struct.error, ValueError, IndexError, KeyError, TypeError, OverflowError, MemoryError, RecursionError, StopIteration) as broken:
+        raise Malformed(f"{type(broken).__name__}: {broken}") from broken
+
+
+def _read(blob: bytes) -> tuple[str, list[dict]]:
     data = memoryview(blob)
     top = _walk(data, 0, len(data))
     ftyp, moov = _child(top, b"ftyp"), _child(top, b"moov")
@@ -243,14 +308,12 @@ def parse(blob: bytes) -> tuple[str, list[dict]]:
         stsd = _child(stbl[4], b"stsd")
         codec, width, height = _codec(data, stsd) if stsd is not None else ("", None, None)
         parts = [_sample_table(data, stbl[4]), *fragments.get(track, [])]
-        joined = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-        span = max([duration if duration < (1 << 32) - 1 else 0, *joined["end"].tolist()])
+        start, size, time = (np.concatenate([p[k] for p in parts]) for k in ("start", "size", "time"))
+        span = max([duration if duration < (1 << 32) - 1 else 0, *(p["end"] for p in parts)])
         scale = scale or 1
-        keys = np.flatnonzero(joined["key"])
-        frames = [{"time_s": t / scale, "start": s, "size": z} for t, s, z in zip(joined["time"][keys].tolist(), joined["start"][keys].tolist(), joined["size"][keys].tolist())]
-        if len(joined["start"]) and joined["start"].min() < 0:
+        if len(start) and start.min() < 0:
             raise Malformed("a sample lies before the file")
-        tracks.append({"track_id": track, "handler": handler, "codec": codec, "timescale": scale, "duration_s": span / scale, "width": width, "height": height, "n_samples": len(joined["size"]), "media_bytes": int(joined["size"].sum()), "keyframes": frames})
+        tracks.append({"track_id": track, "handler": handler, "codec": codec, "timescale": scale, "duration_s": span / scale, "width": width, "height": height, "n_samples": sum(p["n"] for p in parts), "media_bytes": sum(p["bytes"] for p in parts), "keyframes": (time / scale, start, size)})
     return brand, tracks
 
 
@@ -262,24 +325,38 @@ def inspect(files: DataFrame, media_id: str, media: str) -> DataFrame:
     one row with status ``null``, ``empty`` or ``malformed: ...`` and nulls else where
     a file has no tracks to read, ``no tracks`` where it is sound but has none, else
     ``ok``; null ids and repeated rows are carried; an empty table gives no rows;
-    other columns are ignored.
+    other columns are ignored.  Whatever a damaged file holds makes a ``malformed``
+    row, never an error.  Files are read whole, of any length and number of samples;
+    work and memory follow the file's bytes, not the counts that it claims.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
+        rows, frames = [], []
         for d, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
             data = blob.as_py()
             if not data:
                 rows.append({"media_id": d, "status": "null" if data is None else "empty"})
+                frames.append(None)
                 continue
             try:
-                brand, tracks = parse(data)
-                rows += [{"media_id": d, "status": "ok", "brand": brand} | t for t in tracks] or [{"media_id": d, "status": "no tracks", "brand": brand}]
-            except (Malformed, struct.error) as broken:
+                brand, tracks = read(data)
+            except Malformed as broken:
                 rows.append({"media_id": d, "status": f"malformed: {broken}"})
-        return pa.RecordBatch.from_pylist(rows, schema=pa.schema(FIELDS))
+                frames.append(None)
+                continue
+            rows += [{"media_id": d, "status": "ok", "brand": brand} | t for t in tracks] or [{"media_id": d, "status": "no tracks", "brand": brand}]
+            frames += [t.pop("keyframes") for t in tracks] or [None]
+        fields = [("media_id", batch.schema.field(0).type), *FIELDS[1:-1]]
+        columns = [pa.array([r.get(name) for r in rows], kind) for name, kind in fields]
+        held = [f for f in frames if f is not None]
+        places = np.cumsum([0, *(0 if f is None else len(f[0]) for f in frames)])
+        parts = [np.concatenate([f[i] for f in held]) if held else np.zeros(0) for i in range(3)]
+        values = pa.StructArray.from_arrays([pa.array(parts[0], pa.float64()), pa.array(parts[1].astype(np.int64)), pa.array(parts[2].astype(np.int64))], names=["time_s", "start", "size"])
+        bounds = pa.array([None if i < len(frames) and frames[i] is None else p for i, p in enumerate(places.tolist())], pa.int32())
+        return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(bounds, values)], names=[name for name, _ in FIELDS])
 
-    return map_batches(files.select(quoted(media_id).cast("long").alias("media_id"), quoted(media).alias("media")), run, SCHEMA)
+    rows = files.select(quoted(media_id).alias("media_id"), quoted(media).alias("media"))
+    return map_batches(rows, run, SCHEMA.replace("media_id long", f"media_id {rows.schema[0].dataType.simpleString()}", 1))
 
 
 def _box(kind: bytes, *body: bytes) -> bytes:
@@ -359,10 +436,16 @@ def text_movie(text: str) -> bytes:
 
 
 def text_movies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, media): each text as a film; null for a null text."""
+    """(doc_id, media): each text as a film.
+
+    Defined results: null for a null text, a film of one empty sample for an empty
+    one; ids are carried, null or repeated; an empty table gives no rows; other
+    columns are ignored.  Texts are used whole.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         films = [None if t is None else text_movie(t) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(films, pa.binary())], names=["doc_id", "media"])
 
-    return map_batches(docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("text")), run, "doc_id long, media binary")
+    rows = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
+    return map_batches(rows, run, f"doc_id {rows.schema[0].dataType.simpleString()}, media binary")
