@@ -2,21 +2,26 @@
 
 A fixed-depth tree files each line by its count of tokens and then by its leading
 tokens, of which those with a digit are variable.  In a leaf, lines join the
-template with which they agree at ``similarity`` of the positions at least; where a
-line differs from its template the position becomes variable.  A template that
-``min_docs`` documents or more use is boilerplate and its lines go.
+template with which they agree at ``similarity`` of the positions at least, and at
+MIN_CONSTANT of them; where a line differs from its template the position becomes
+variable.  A template that ``min_docs`` documents or more use is boilerplate and its
+lines go.  Lines too short for that, or of variable tokens for more than half, recur
+by their exact text only, in ``short_docs`` documents.
 
-A line travels as hashes: 128 bits of its text and one byte for each token, enough
-to compare positions.  A leaf that too few documents use is pruned before anything
-is compared.  In a leaf the templates are found through exact runs of positions: of
-d + 1 runs one must agree whole where d positions at most differ, so no line is held
-against every template.  Texts move once, to meet the hashes of their lines to drop.
+Texts that are copies of each other have one vote together: those with COPY_ANCHORS
+of their anchors in common (see below).  A text of nothing but boilerplate has its own.
+
+A line travels as hashes: 128 bits of its tokens and two bytes for each of them, enough
+to compare positions; lines that differ in variable tokens only are one row.  A leaf
+that too few documents use is pruned before anything is compared.  In a leaf the
+templates are found through exact runs of positions: of d + 1 runs one must agree
+whole where d positions at most differ, so no line is held against every template.
 
 With ``passage``, a run of that many words or more that two dissimilar texts share goes
-too, wherever it lies in its lines.  Every window of ``passage`` words holds its least-hashed run of
-GRAM words, so texts that share a window share that run (an anchor).  Texts with
-COPY_ANCHORS of their anchors in common are copies of each other and count as one here.  Only
-texts with an anchor that others have are read again, for the windows around it.
+too, wherever it lies in its lines.  Every window of ``passage`` words holds its
+least-hashed run of GRAM words (an anchor), so texts that share a window share that run,
+and the words of half a window to one side of it.  Only texts with such a half in
+common with others are read again, for the windows around it.
 """
 
 from __future__ import annotations
@@ -40,54 +45,89 @@ from millrace.plans.shipping import worker_cache
 
 LEADING = 3
 MIN_TOKENS = 4
+MIN_CONSTANT = 6
 MIN_DOCS = 3
+SHORT_DOCS = 10
 SIMILARITY = 0.75
-COPY_SHARE = 0.8
 PASSAGE = 50
 GRAM = 6
 COPY_ANCHORS = 0.3
+#: Rows of a table of busy leaves up to which it is broadcast.
+BROADCAST_ROWS = 200_000
 _TOKEN = re.compile(r"\S+")
+_DIGIT = re.compile(r"\d")
 _BASE = 0x9E3779B97F4A7C15
+_VARIABLE = np.uint64(0x5851F42D4C957F2D)
 
 
-def _variable(token: str) -> bool:
-    return any(c.isdigit() for c in token)
-
+class TokenHashes(dict):
+    """token -> 64 bits, the last of which says that it is variable."""
 
-def leaf_name(tokens: list[str], leading: int = LEADING) -> str:
-    return "\x00".join([str(len(tokens)), *("<*>" if _variable(t) else t for t in tokens[:leading])])
+    def __missing__(self, token: str) -> int:
+        import xxhash
 
+        if len(self) > 200_000:
+            self.clear()
+        found = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass")) & ~1 | (_DIGIT.search(token) is not None)
+        self[token] = found
+        return found
 
-def line_hashes(line: str, min_tokens: int, leading: int) -> tuple[int, int, int, bytes] | None:
-    """(leaf, 128 bits of the text, a byte for each token), or None if too short."""
-    import xxhash
 
-    tokens = line.split()
-    if len(tokens) < min_tokens:
+def word_hashes(tokens: list[str]) -> np.ndarray:
+    """64 bits of each token."""
+    cache = worker_cache()
+    if "line_tokens" not in cache:
+        cache["line_tokens"] = TokenHashes()
+    return np.fromiter(map(cache["line_tokens"].__getitem__, tokens), np.uint64, len(tokens))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def hashed_lines(words: np.ndarray, sizes: np.ndarray, min_tokens: int, leading: int) -> tuple[np.ndarray, ...]:
+    """(leaf, h1, h2, whether by template, two bytes of each word) of lines of ``sizes`` > 0 words."""
+    first = np.cumsum(sizes) - sizes
+    variable = (words & np.uint64(1)).astype(np.int64)
+    by_template = (sizes >= min_tokens) & (2 * np.add.reduceat(variable, first) <= sizes)
+    masked = np.where(variable > 0, _VARIABLE, words)
+    of_line = np.where(np.repeat(by_template, sizes), masked, words)
+    place = (np.arange(len(words)) - np.repeat(first, sizes)).astype(np.uint64)
+    parts = [np.add.reduceat(_mixed(of_line * np.uint64(odd) + place * np.uint64(_BASE)), first) for odd in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)]
+    h1, h2 = (_mixed(x + sizes.astype(np.uint64)).view(np.int64) for x in parts)
+    leaf = sizes.astype(np.uint64)
+    for k in range(leading):
+        token = masked[np.minimum(first + k, len(words) - 1)]
+        leaf = _mixed(leaf * np.uint64(_BASE) + np.where(sizes > k, token, np.uint64(0)))
+    return np.where(by_template, leaf.view(np.int64), h1), h1, h2, by_template, (masked >> np.uint64(20)).astype(np.uint16)
+
+
+def line_hashes(line: str, min_tokens: int = MIN_TOKENS, leading: int = LEADING) -> tuple[int, int, int, tuple] | None:
+    """(leaf, 128 bits of the line, its words' signature, empty if it recurs by exact text only); None without a token."""
+    words = word_hashes(line.split())
+    if not len(words):
         return None
-    signature = bytes([hash_byte(t) for t in tokens])
-    text = xxhash.xxh128_intdigest(" ".join(tokens).encode("utf-8", "surrogatepass"))
-    leaf = xxhash.xxh64_intdigest(leaf_name(tokens, leading).encode("utf-8", "surrogatepass"))
-    return leaf - (1 << 63), (text >> 64) - (1 << 63), (text & ((1 << 64) - 1)) - (1 << 63), signature
+    leaf, h1, h2, by_template, short = hashed_lines(words, np.array([len(words)]), min_tokens, leading)
+    return int(leaf[0]), int(h1[0]), int(h2[0]), tuple(short.tolist()) if by_template[0] else ()
 
 
-def hash_byte(token: str) -> int:
-    """A byte for a token; all variable tokens have the same."""
-    import zlib
+def slack(n: int, similarity: float) -> int:
+    """How many of ``n`` positions may differ."""
+    return max(0, min(int((1 - similarity) * n + 1e-9), n - MIN_CONSTANT))
 
-    return zlib.crc32(("<*>" if _variable(token) else token).encode("utf-8", "surrogatepass")) & 255
 
-
-def templates(signatures: list[bytes], similarity: float) -> list[int]:
+def templates(signatures: list, similarity: float) -> list[int]:
     """Number of the template that each line of one leaf joins, in order."""
     n = len(signatures[0])
-    differ = int((1 - similarity) * n + 1e-9)
+    differ = slack(n, similarity)
     runs = differ + 1
     bounds = [(i * n // runs, (i + 1) * n // runs) for i in range(runs)]
-    index: dict[tuple[int, bytes], list[int]] = defaultdict(list)
+    index: dict[tuple, list[int]] = defaultdict(list)
     made: list[list[int]] = []
     joined: list[int] = []
-    exact: dict[bytes, int] = {}
+    exact: dict = {}
     for s in signatures:
         if s in exact:
             joined.append(exact[s])
@@ -112,32 +152,15 @@ def templates(signatures: list[bytes], similarity: float) -> list[int]:
     return joined
 
 
-def recurring(rows: list[tuple[bytes, int, int, int]], similarity: float, min_docs: int) -> list[bool]:
-    """Whether each line of a leaf is boilerplate: (signature, documents, least and greatest document)."""
+def recurring(rows: list[tuple], similarity: float, min_docs: int, short_docs: int) -> list[bool]:
+    """Whether each line of a leaf is boilerplate: (signature, votes), of the votes as many as are needed at most."""
+    if not len(rows[0][0]):
+        return [len(votes) >= short_docs for _, votes in rows]
     joined = templates([r[0] for r in rows], similarity)
-    docs: dict[int, set] = defaultdict(set)
-    enough: set[int] = set()
-    for t, (_, n, low, high) in zip(joined, rows):
-        if n >= min_docs:
-            enough.add(t)
-        docs[t].update((low, high))  # all of a line's documents, where it has two at most
-    return [t in enough or len(docs[t]) >= min_docs for t in joined]
-
-
-def word_hashes(tokens: list[str]) -> np.ndarray:
-    """64 bits of each token."""
-    import xxhash
-
-    cache = worker_cache().setdefault("passage_words", {})
-    if len(cache) > 200_000:
-        cache.clear()
-    out = []
-    for t in tokens:
-        h = cache.get(t)
-        if h is None:
-            h = cache[t] = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))
-        out.append(h)
-    return np.array(out, np.uint64)
+    users: dict[int, set] = defaultdict(set)
+    for t, (_, votes) in zip(joined, rows):
+        users[t].update(votes)
+    return [len(users[t]) >= min_docs for t in joined]
 
 
 def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
@@ -163,52 +186,79 @@ def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
 
 
 def anchors(words: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each run of GRAM words, place of the least one in each window of ``passage`` words)."""
+    """(hash of each run of GRAM words, the least of them in each window of ``passage`` words).
+
+    A text shorter than a window has all its runs as anchors.
+    """
     grams = run_hashes(words, min(GRAM, passage))
     width = passage - min(GRAM, passage) + 1
     if len(grams) < width:
-        return grams, np.array([grams.argmin()] if len(grams) else [], np.int64)
-    wide = np.lib.stride_tricks.sliding_window_view(grams, width)
-    places = [wide[at : at + 65536].argmin(axis=1) for at in range(0, len(wide), 65536)]
-    return grams, np.concatenate(places) + np.arange(len(wide))
+        return grams, grams
+    least, have = grams, 1
+    while have < width:  # minima of windows of twice the width, until it is reached
+        step = min(have, width - have)
+        least = np.minimum(least[:-step], least[step:])
+        have += step
+    return grams, least
 
 
-def _line_table(texts: DataFrame, min_tokens: int, leading: int, passage: int | None) -> DataFrame:
-    """(leaf, h1, h2, sig, doc) of the distinct lines of each text, and with a null leaf its anchors (h1)."""
-    import xxhash
+def halves(words: np.ndarray, grams: np.ndarray, own: np.ndarray, passage: int) -> tuple[np.ndarray, ...]:
+    """(anchor, hash of the words that end with it, of those that begin with it) for each place of an anchor.
+
+    Any window around an anchor holds half of the words beside it on one side; where a
+    text has fewer words there the hash is the anchor's own.
+    """
+    half = GRAM + (passage - GRAM) // 2
+    at = np.flatnonzero(np.isin(grams, own))
+    runs = run_hashes(words, half)
+    if not len(runs):
+        return grams[at], grams[at], grams[at]
+    back = at - (half - GRAM)
+    left = np.where(back >= 0, runs[np.maximum(back, 0)], grams[at])
+    right = np.where(at < len(runs), runs[np.minimum(at, len(runs) - 1)], grams[at])
+    return grams[at], left, right
+
+
+def _line_table(texts: DataFrame, min_tokens: int, leading: int, passage: int) -> DataFrame:
+    """(leaf, h1, h2, sig, doc) of the distinct lines of each text, and with a null sig its anchors (h1) with their sides (leaf, h2)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        leaf, h1, h2, sig, doc = [], [], [], [], []
-        cache = worker_cache().setdefault("line_bytes", {})
-        if len(cache) > 200_000:
-            cache.clear()
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for line in set(text.split("\n")):
-                tokens = line.split()
-                if len(tokens) < min_tokens:
-                    continue
-                signature = bytearray()
-                for t in tokens:
-                    b = cache.get(t)
-                    if b is None:
-                        b = cache[t] = hash_byte(t)
-                    signature.append(b)
-                joined = xxhash.xxh128_intdigest(" ".join(tokens).encode("utf-8", "surrogatepass"))
-                leaf.append(xxhash.xxh64_intdigest(leaf_name(tokens, leading).encode("utf-8", "surrogatepass")) - (1 << 63))
-                h1.append((joined >> 64) - (1 << 63))
-                h2.append((joined & ((1 << 64) - 1)) - (1 << 63))
-                sig.append(bytes(signature))
-                doc.append(key)
-            if passage is None:
-                continue
-            grams, places = anchors(word_hashes(text.split()), passage)
-            own = np.unique(grams[places]).view(np.int64).tolist()
-            leaf += [None] * len(own)
-            h1 += own
-            h2 += [None] * len(own)
-            sig += [None] * len(own)
-            doc += [key] * len(own)
-        return pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary()), pa.array(doc, pa.int64())], names=["leaf", "h1", "h2", "sig", "doc"])
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        tokens: list[str] = []
+        sizes, owner, marks = [], [], []
+        for i, text in enumerate(batch.column(1).to_pylist()):
+            for line in text.split("\n"):
+                own = line.split()
+                if own:
+                    tokens += own
+                    sizes.append(len(own))
+                    owner.append(i)
+        if not sizes:
+            return None
+        words = word_hashes(tokens)
+        size, owner = np.array(sizes), np.array(owner)
+        ends = np.concatenate([[0], np.cumsum(size)])
+        cuts = np.flatnonzero(np.diff(owner)) + 1
+        for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(owner)]):
+            part = words[ends[a] : ends[z]]
+            grams, least = anchors(part, passage)
+            found = halves(part, grams, np.unique(least), passage)
+            _, one = np.unique(np.stack(found), axis=1, return_index=True) if len(found[0]) > 1 else (None, np.arange(len(found[0])))
+            marks.append((np.full(len(one), keys[owner[a]]), *(x[one].view(np.int64) for x in found)))
+        leaf, h1, h2, by_template, short = hashed_lines(words, size, min_tokens, leading)
+        order = np.lexsort((h2, h1, owner))  # of equal lines of a text one is enough
+        same = np.concatenate([[False], (owner[order][1:] == owner[order][:-1]) & (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])])
+        keep = np.sort(order[~same])
+        width = np.where(by_template[keep], size[keep], 0)
+        flags = np.zeros(len(size), bool)
+        flags[keep] = by_template[keep]
+        data = short[np.repeat(flags, size)]
+        offsets = np.concatenate([[0], np.cumsum(2 * width)]).astype(np.int32)
+        sig = pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+        lines = pa.RecordBatch.from_arrays([pa.array(leaf[keep]), pa.array(h1[keep]), pa.array(h2[keep]), sig, pa.array(keys[owner[keep]])], names=["leaf", "h1", "h2", "sig", "doc"])
+        doc, anchor, left, right = (np.concatenate([m[k] for m in marks]) for k in range(4))
+        beside = pa.RecordBatch.from_arrays([pa.array(left), pa.array(anchor), pa.array(right), pa.nulls(len(doc), pa.binary()), pa.array(doc)], names=["leaf", "h1", "h2", "sig", "doc"])
+        return pa.Table.from_batches([lines, beside]).combine_chunks().to_batches()[0]
 
     return map_batches(texts, run, "leaf long, h1 long, h2 long, sig binary, doc long")
 
@@ -219,6 +269,7 @@ def copies(marks: DataFrame) -> DataFrame:
     Each text is held against the first holder of its anchors and the holder before
     it; two that share COPY_ANCHORS of the anchors of either are in one group.
     """
+    marks = marks.select("doc", "h1").distinct()
     holders = Window.partitionBy("h1").orderBy("doc")
     others = marks.select("doc", F.min("doc").over(holders).alias("a"), F.lag("doc").over(holders).alias("b")).filter("b is not null")
     others = others.select("doc", F.explode(F.array_distinct(F.array("a", "b"))).alias("other"))
@@ -229,16 +280,20 @@ def copies(marks: DataFrame) -> DataFrame:
     return components(edges).select(F.col("fp").alias("doc"), F.col("root").alias("vote"))
 
 
-def shared_passages(texts: DataFrame, marks: DataFrame, passage: int) -> DataFrame:
+def _voted(rows: DataFrame, votes: DataFrame) -> DataFrame:
+    """``rows`` with the vote of their text."""
+    return rows.join(votes, "doc", "left").withColumn("vote", F.coalesce("vote", "doc"))
+
+
+def shared_passages(texts: DataFrame, marks: DataFrame, votes: DataFrame, passage: int) -> DataFrame:
     """(doc, passages): for each text key the hashes of its windows that a dissimilar text has too."""
-    votes = working_table(copies(marks), "line-votes")
 
     def of_several(rows: DataFrame, h: str) -> DataFrame:
-        voted = rows.join(votes, "doc", "left").withColumn("vote", F.coalesce("vote", "doc"))
-        several = voted.groupBy(h).agg(F.min("vote").alias("a"), F.max("vote").alias("b")).filter("a <> b").select(h)
-        return rows.join(several, h)
+        return rows.groupBy(h).agg(F.min("vote").alias("a"), F.max("vote").alias("b")).filter("a <> b").select(h)
 
-    wanted = of_several(marks, "h1").groupBy("doc").agg(F.collect_list("h1").alias("marks"))
+    voted = working_table(_voted(marks, votes), "line-anchors")
+    sides = voted.select("doc", "vote", "h1", F.explode(F.array_distinct(F.array("leaf", "h2"))).alias("side"))
+    wanted = sides.join(of_several(sides, "side"), "side").groupBy("doc").agg(F.collect_set("h1").alias("marks"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         wins, doc = [], []
@@ -246,8 +301,7 @@ def shared_passages(texts: DataFrame, marks: DataFrame, passage: int) -> DataFra
             words = word_hashes(text.split())
             if len(words) < passage:
                 continue
-            grams, places = anchors(words, passage)
-            known = np.isin(grams[places].view(np.int64), np.array(own, np.int64))
+            known = np.isin(anchors(words, passage)[1].view(np.int64), np.array(own, np.int64))
             found = np.unique(run_hashes(words, passage)[known].view(np.int64))
             wins.append(found)
             doc.append(np.full(len(found), key, np.int64))
@@ -255,41 +309,46 @@ def shared_passages(texts: DataFrame, marks: DataFrame, passage: int) -> DataFra
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(wins or empty)), pa.array(np.concatenate(doc or empty))], names=["win", "doc"])
 
     windows = working_table(map_batches(texts.join(wanted, "doc").select("doc", "text", "marks").dropDuplicates(["doc"]), run, "win long, doc long"), "line-windows")
-    return of_several(windows, "win").groupBy("doc").agg(F.collect_list("win").alias("passages"))
+    return windows.join(of_several(_voted(windows, votes), "win"), "win").groupBy("doc").agg(F.collect_list("win").alias("passages"))
 
 
-def boilerplate(texts: DataFrame, similarity: float, min_docs: int, min_tokens: int, leading: int, passage: int | None) -> DataFrame:
+def boilerplate(texts: DataFrame, similarity: float, min_docs: int, short_docs: int, min_tokens: int, leading: int, passage: int | None) -> DataFrame:
     """(doc, drop, passages): for each text key the hashes of its lines and passages to drop."""
-    table = working_table(_line_table(texts, min_tokens, leading, passage), "line-hashes")
-    lines, marks = table.filter("leaf is not null"), table.filter("leaf is null").select("h1", "doc").distinct()
-    busy = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b")).filter((F.col("n") >= min_docs) & (F.col("a") != F.col("b"))).select("leaf")
-    kept = lines.join(busy, "leaf").groupBy("leaf", "h1", "h2", "sig", "doc").agg(F.lit(1).alias("one"))
-    kept = working_table(kept.drop("one"), "line-leaves")
-    distinct = kept.groupBy("leaf", "h1", "h2", "sig").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b"))
+    table = working_table(_line_table(texts, min_tokens, leading, passage or PASSAGE), "line-hashes")
+    lines, marks = table.filter("sig is not null"), table.filter("sig is null").drop("sig")
+    votes = working_table(copies(marks), "line-votes")
+    needed = F.when(F.max(F.length("sig")) > 0, min_docs).otherwise(short_docs)
+    busy = working_table(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b"), needed.alias("needed")).filter("n >= needed and a <> b").select("leaf"), "line-leaves")
+    kept = lines.join(F.broadcast(busy) if busy.count() <= BROADCAST_ROWS else busy, "leaf")
+    kept = working_table(_voted(kept.dropDuplicates(["leaf", "h1", "h2", "doc"]), votes), "line-rows")
+    # Of a line's votes as many are kept as can matter, before the shuffle too.
+    most = max(min_docs, short_docs)
+    ranked = kept.select("leaf", "h1", "h2", "sig", "vote").distinct().withColumn("r", F.row_number().over(Window.partitionBy("leaf", "h1", "h2").orderBy("vote")))
+    distinct = ranked.filter(F.col("r") <= most).groupBy("leaf", "h1", "h2").agg(F.first("sig").alias("sig"), F.collect_list("vote").alias("votes"))
 
     def cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h1, h2 = [], []
         for _, parts in sorted_runs(batches, "leaf"):
-            rows = [r for p in parts for r in zip(*(p.column(c).to_pylist() for c in ("sig", "n", "a", "b", "h1", "h2")))]
             by_length: dict[int, list] = defaultdict(list)
-            for r in rows:
-                by_length[len(r[0])].append(r)
+            for p in parts:
+                for sig, votes, a, b in zip(*(p.column(c).to_pylist() for c in ("sig", "votes", "h1", "h2"))):
+                    by_length[len(sig)].append((tuple(np.frombuffer(sig, np.uint16).tolist()), votes, a, b))
             for own in by_length.values():
-                for r, gone in zip(own, recurring([r[:4] for r in own], similarity, min_docs)):
+                for r, gone in zip(own, recurring([r[:2] for r in own], similarity, min_docs, short_docs)):
                     if gone:
-                        h1.append(r[4])
-                        h2.append(r[5])
+                        h1.append(r[2])
+                        h2.append(r[3])
             if len(h1) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], names=["h1", "h2"])
                 h1, h2 = [], []
         if h1:
             yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], names=["h1", "h2"])
 
-    gone = distinct.repartition("leaf").sortWithinPartitions("leaf", "h1", "h2").mapInArrow(cluster, "h1 long, h2 long")
-    drops = kept.join(gone, ["h1", "h2"]).groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
+    gone = distinct.repartition("leaf").sortWithinPartitions("leaf", "h1", "h2").mapInArrow(cluster, "h1 long, h2 long").distinct()
+    drops = kept.select("h1", "h2", "doc").join(gone, ["h1", "h2"]).groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
     if passage is None:
         return drops.withColumn("passages", F.lit(None).cast("array<bigint>"))
-    return drops.join(shared_passages(texts, marks, passage), "doc", "full")
+    return drops.join(shared_passages(texts, marks, votes, passage), "doc", "full")
 
 
 def in_passage(words: np.ndarray, windows: list[int], passage: int) -> np.ndarray:
@@ -312,95 +371,81 @@ def _without(line: str, gone: list[bool]) -> str:
     return "".join([*out, line[at:]]).rstrip() if gone[-1] else "".join([*out, line[at:]])
 
 
-def _cleaned(batch_texts: list, batch_drops: list, batch_passages: list, min_tokens: int, copy_share: float, passage: int | None) -> tuple[list, list, list]:
-    import xxhash
-
+def _cleaned(batch_texts: list, batch_drops: list, batch_passages: list, min_tokens: int, leading: int, passage: int | None) -> tuple[list, list, list]:
     texts, counts, dropped = [], [], []
     for text, drop, windows in zip(batch_texts, batch_drops, batch_passages):
-        if text is None:
-            texts.append(None)
-            counts.append(0)
-            dropped.append(0)
-            continue
         lines = text.split("\n")
         counts.append(len(lines))
-        if not drop and not windows:
-            texts.append(text)
-            dropped.append(0)
-            continue
-        gone = {(d["h1"], d["h2"]) for d in drop or ()}
-        spliced = in_passage(word_hashes(text.split()), windows, passage).tolist() if windows else None
-        kept, lost, total = [], 0, 0
-        for line in lines:
-            tokens = line.split()
-            marked = spliced[total : total + len(tokens)] if spliced else []
-            total += len(tokens)
-            if len(tokens) >= min_tokens:
-                h = xxhash.xxh128_intdigest(" ".join(tokens).encode("utf-8", "surrogatepass"))
-                if ((h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)) in gone:
-                    lost += len(tokens)
-                    continue
-            if any(marked):
-                if all(marked):
-                    continue
-                line = _without(line, marked)
-            kept.append(line)
-        if lost >= copy_share * total:
-            texts.append(text)
-            dropped.append(0)
-        else:
-            texts.append("\n".join(kept))
-            dropped.append(len(lines) - len(kept))
+        split = [line.split() for line in lines]
+        sizes = np.array([len(x) for x in split])
+        words = word_hashes([t for x in split for t in x])
+        used = np.flatnonzero(sizes)
+        goes = np.zeros(len(lines), bool)
+        if drop and len(used):
+            gone = {(d["h1"], d["h2"]) for d in drop}
+            _, h1, h2, _, _ = hashed_lines(words, sizes[used], min_tokens, leading)
+            goes[used] = [x in gone for x in zip(h1.tolist(), h2.tolist())]
+        spliced = in_passage(words, windows, passage).tolist() if windows else None
+        kept, total = [], 0
+        for line, n, whole in zip(lines, sizes.tolist(), goes.tolist()):
+            marked = spliced[total : total + n] if spliced else []
+            total += n
+            if whole or marked and all(marked):
+                continue
+            kept.append(_without(line, marked) if any(marked) else line)
+        texts.append("\n".join(kept))
+        dropped.append(len(lines) - len(kept))
     return texts, counts, dropped
 
 
-def drop_recurring(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, leading: int = LEADING, copy_share: float = COPY_SHARE, counts: bool = False, passage: int | None = None) -> DataFrame:
+def drop_recurring(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, short_docs: int = SHORT_DOCS, min_tokens: int = MIN_TOKENS, leading: int = LEADING, counts: bool = False, passage: int | None = None) -> DataFrame:
     """The documents with recurring lines and passages dropped; all columns kept.
 
-    Documents of the same text count once, so exact copies make nothing recur.  A
-    document of whose tokens ``copy_share`` or more would go is a copy as a whole
-    and stays as it is, for a near-duplicate step to judge.  Lines of fewer than
-    ``min_tokens`` tokens stay.  With ``passage``, runs of that many words that a text
-    shares with one that isn't its copy go, also within a line.  ``min_docs`` is 2 or 3.  With ``counts`` two columns
-    more say how many lines the document had (``n_lines``) and lost (``n_dropped``).
+    ``min_docs`` (2 or more) is the support of a template, ``short_docs`` that of a line
+    of fewer than ``min_tokens`` tokens or of mostly variable ones, by exact text.
+    Copies, exact and near, count once, so they make nothing recur.  With
+    ``passage``, runs of that many words that a text shares with one that isn't its
+    copy go, also within a line.  With ``counts`` two columns more say how many
+    lines the document had (``n_lines``) and lost (``n_dropped``); where a column
+    has such a name already the new one ends in an underscore.
 
     Defined results: null and empty texts stay as they are; decisions rest on texts
     alone, so null ids, ties and repeated rows change nothing and repeated rows get
-    the same result; an empty table gives an empty one; clashing names of other
-    columns are harmless.  Texts are read whole.
+    the same result; a text of nothing but boilerplate becomes empty; an empty table
+    gives an empty one; clashing names of other columns are harmless.  Texts are
+    read whole.
     """
-    if min_docs not in (2, 3):
-        raise ValueError("min_docs is 2 or 3: a line keeps the least and greatest of its documents")
+    if min_docs < 2 or short_docs < 2:
+        raise ValueError("what one document holds doesn't recur: min_docs and short_docs are 2 or more")
     key, drop, spliced = fresh(docs, "key", "drop", "passages")
-    keyed = docs.withColumn(key, F.xxhash64(quoted(text)))
-    texts = keyed.filter(quoted(text).isNotNull()).select(F.col(key).alias("doc"), quoted(text).alias("text"))
-    drops = boilerplate(texts, similarity, min_docs, min_tokens, leading, passage).withColumnsRenamed({"doc": key, "drop": drop, "passages": spliced})
-    return _apply(keyed.join(drops, key, "left"), docs, text, drop, spliced, min_tokens, copy_share, counts, passage)
-
-
-def _apply(joined: DataFrame, docs: DataFrame, text: str, drop: str, spliced: str, min_tokens: int, copy_share: float, counts: bool, passage: int | None) -> DataFrame:
+    keyed = docs.filter(quoted(text).isNotNull()).withColumn(key, F.xxhash64(quoted(text)))
+    texts = keyed.select(F.col(key).alias("doc"), quoted(text).alias("text"))
+    drops = boilerplate(texts, similarity, min_docs, short_docs, min_tokens, leading, passage).withColumnsRenamed({"doc": key, "drop": drop, "passages": spliced})
+    joined = keyed.join(drops, key, "left")
     names = docs.columns
     position = names.index(text)
+    extra: list[str] = []
+    for name in ("n_lines", "n_dropped") if counts else ():
+        while name.lower() in {c.lower() for c in names + extra}:
+            name += "_"
+        extra.append(name)
     fields = [*docs.schema.fields]
     fields[position] = T.StructField(text, T.StringType())
-    if counts:
-        fields += [T.StructField("n_lines", T.IntegerType()), T.StructField("n_dropped", T.IntegerType())]
-    schema = T.StructType(fields)
-    # Plain rows pass by; only documents that lose a line go through Python.
+    schema = T.StructType([*fields, *(T.StructField(c, T.IntegerType()) for c in extra)])
+    # Plain rows pass by; only documents that lose something go through Python.
     loses = F.col(drop).isNotNull() | F.col(spliced).isNotNull()
     touched = joined.filter(loses).select(*[quoted(c) for c in names], F.col(drop), F.col(spliced))
-    plain = joined.filter(~loses).select(*[quoted(c) for c in names])
+    columns = [quoted(c) for c in names]
+    plain = joined.filter(~loses).select(*columns).unionByName(docs.filter(quoted(text).isNull()).select(*columns))
     if counts:
-        plain = plain.withColumn("n_lines", F.when(quoted(text).isNull(), 0).otherwise(F.size(F.split(quoted(text), "\n", -1)))).withColumn("n_dropped", F.lit(0))
+        plain = plain.select(*columns, F.when(quoted(text).isNull(), 0).otherwise(F.size(F.split(quoted(text), "\n", -1))).alias(extra[0]), F.lit(0).alias(extra[1]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         columns = [batch.column(i) for i in range(len(names))]
-        texts, n, gone = _cleaned(columns[position].to_pylist(), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), min_tokens, copy_share, passage)
+        texts, n, gone = _cleaned(columns[position].to_pylist(), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), min_tokens, leading, passage)
         columns[position] = pa.array(texts, pa.string())
-        labels = list(names)
         if counts:
             columns += [pa.array(n, pa.int32()), pa.array(gone, pa.int32())]
-            labels += ["n_lines", "n_dropped"]
-        return pa.RecordBatch.from_arrays(columns, names=labels)
+        return pa.RecordBatch.from_arrays(columns, names=[*names, *extra])
 
-    return plain.unionByName(map_batches(touched, run, schema)) if not counts else plain.select(*schema.names).union(map_batches(touched, run, schema))
+    return plain.union(map_batches(touched, run, schema))
