@@ -52,6 +52,8 @@ SIMILARITY = 0.75
 PASSAGE = 50
 GRAM = 6
 COPY_ANCHORS = 0.3
+#: Holders of one anchor that are put in order together, at most about.
+HOLDERS = 100_000
 #: Rows of a table of busy leaves up to which it is broadcast.
 BROADCAST_ROWS = 200_000
 _TOKEN = re.compile(r"\S+")
@@ -270,9 +272,12 @@ def copies(marks: DataFrame) -> DataFrame:
     it; two that share COPY_ANCHORS of the anchors of either are in one group.
     """
     marks = marks.select("doc", "h1").distinct()
-    holders = Window.partitionBy("h1").orderBy("doc")
-    others = marks.select("doc", F.min("doc").over(holders).alias("a"), F.lag("doc").over(holders).alias("b")).filter("b is not null")
-    others = others.select("doc", F.explode(F.array_distinct(F.array("a", "b"))).alias("other"))
+    held = marks.groupBy("h1").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("a")).filter("n > 1")
+    # An anchor of a large part of all texts is cut into parts, each with its own order.
+    part = F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / HOLDERS))
+    before = Window.partitionBy("h1", "part").orderBy("doc")
+    others = marks.join(held, "h1").withColumn("part", part).select("doc", "a", F.lag("doc").over(before).alias("b"))
+    others = others.select("doc", F.explode(F.array_distinct(F.array("a", "b"))).alias("other")).filter("other <> doc")
     shared = others.groupBy("doc", "other").agg(F.count(F.lit(1)).alias("n"))
     sizes = marks.groupBy("doc").agg(F.count(F.lit(1)).alias("size"))
     known = shared.join(sizes, "doc").join(sizes.select(F.col("doc").alias("other"), F.col("size").alias("size_other")), "other")
@@ -308,7 +313,9 @@ def shared_passages(texts: DataFrame, marks: DataFrame, votes: DataFrame, passag
         empty = [np.zeros(0, np.int64)]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(wins or empty)), pa.array(np.concatenate(doc or empty))], names=["win", "doc"])
 
-    windows = working_table(map_batches(texts.join(wanted, "doc").select("doc", "text", "marks").dropDuplicates(["doc"]), run, "win long, doc long"), "line-windows")
+    # Copies of a text fall together on the map side, so no hot text meets its marks.
+    once = texts.dropDuplicates(["doc"])
+    windows = working_table(map_batches(once.join(wanted, "doc").select("doc", "text", "marks"), run, "win long, doc long"), "line-windows")
     return windows.join(of_several(_voted(windows, votes), "win"), "win").groupBy("doc").agg(F.collect_list("win").alias("passages"))
 
 

@@ -19,7 +19,7 @@ def test_templates_against_every_pair():
             if s not in exact:
                 scores = [sum(a == b for a, b in zip(m, s)) for m in made]
                 best = max(range(len(made)), key=lambda i: (scores[i], -i), default=-1)
-                if best >= 0 and scores[best] >= n - int(0.25 * n + 1e-9):
+                if best >= 0 and scores[best] >= n - min(int(0.25 * n + 1e-9), max(0, n - lines.MIN_CONSTANT)):
                     made[best] = [a if a == b else -1 for a, b in zip(made[best], s)]
                 else:
                     best = len(made)
@@ -56,35 +56,99 @@ def test_edge_cases(spark):
     assert out.columns == ["doc_id", "text", "_mr_key", "leaf"]
     assert Counter(map(tuple, out.collect())) == Counter(rows)  # copies count once
     assert lines.drop_recurring(_docs(spark, rows).limit(0)).count() == 0
-    whole = [(i, f"only{i}\n" + "same words in this line of boilerplate", "k", i) for i in range(3)]
+    own = "same words in this line of boilerplate"
+    whole = [(i, f"{_own(i)}\n{own}" if i < 3 else own, "k", i) for i in range(4)]
     kept = {r.doc_id: r.text for r in lines.drop_recurring(_docs(spark, whole)).collect()}
-    assert kept == {i: t for i, t, _, _ in whole}  # copy_share: nearly all of it recurs
+    assert kept == {0: _own(0), 1: _own(1), 2: _own(2), 3: ""}  # nothing but boilerplate: empty
+
+
+def _anchors(text):
+    tokens = text.split()
+    grams = [" ".join(tokens[i : i + lines.GRAM]) for i in range(len(tokens) - lines.GRAM + 1)]
+    hashed = [int(h) for h in lines.run_hashes(lines.word_hashes(tokens), lines.GRAM)]
+    width = lines.PASSAGE - lines.GRAM + 1
+    if len(grams) < width:
+        return set(grams)
+    return {grams[min(range(i, i + width), key=hashed.__getitem__)] for i in range(len(grams) - width + 1)}
+
+
+def _votes(texts):
+    """Groups of texts that have COPY_ANCHORS of the anchors of either in common, over all pairs."""
+    own = {t: _anchors(t) for t in texts}
+    holders, parent = defaultdict(set), {t: t for t in texts}
+
+    def root(t):
+        while parent[t] != t:
+            t = parent[t]
+        return t
+
+    for t, found in own.items():
+        for a in found:
+            holders[a].add(t)
+    for t, found in own.items():
+        for u, n in Counter(u for a in found for u in holders[a]).items():
+            if n >= lines.COPY_ANCHORS * max(len(found), len(own[u])):
+                parent[root(t)] = root(u)
+    return {t: root(t) for t in texts}
 
 
 def test_table_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     got = {r.doc_id: r.text for r in lines.drop_recurring(docs).collect()}
     texts = {r.doc_id: r.text for r in docs.collect()}
-    leaves = defaultdict(dict)
+    vote = _votes(set(texts.values()))
+
+    def masked(line):  # (leaf, words with the variable ones masked, whether by template)
+        words = line.split()
+        shape = tuple("<*>" if any(c.isdigit() for c in w) else w for w in words)
+        template = len(words) >= lines.MIN_TOKENS and 2 * shape.count("<*>") <= len(words)
+        return (len(words), *shape[: lines.LEADING]), shape if template else tuple(words), template
+
+    leaves, exact = defaultdict(lambda: defaultdict(set)), defaultdict(set)
     for t in set(texts.values()):
-        for line in set(t.split("\n")):
-            h = lines.line_hashes(line, lines.MIN_TOKENS, lines.LEADING)
-            if h:
-                leaves[h[0], len(h[3])].setdefault(h[1:], set()).add(t)
-    gone = set()
-    for leaf in leaves.values():
-        keys = sorted(leaf)
-        joined = lines.templates([k[2] for k in keys], lines.SIMILARITY)
+        for line in t.split("\n"):
+            leaf, shape, template = masked(line)
+            if shape:
+                (leaves[leaf][shape] if template else exact[shape]).add(vote[t])
+    gone = {(False, s) for s, users in exact.items() if len(users) >= lines.SHORT_DOCS}
+    for leaf in leaves.values():  # in the operator's order, which is that of the hashes
+        keys = sorted(leaf, key=lambda s: lines.line_hashes(" ".join(s).replace("<*>", "0"))[1:3])
+        joined = lines.templates(keys, lines.SIMILARITY)
         users = defaultdict(set)
         for k, t in zip(keys, joined):
             users[t] |= leaf[k]
-        gone |= {k for k, t in zip(keys, joined) if len(users[t]) >= lines.MIN_DOCS}
+        gone |= {(True, k) for k, t in zip(keys, joined) if len(users[t]) >= lines.MIN_DOCS}
     for d, text in texts.items():
-        hashed = [(line, lines.line_hashes(line, lines.MIN_TOKENS, lines.LEADING)) for line in text.split("\n")]
-        kept = [line for line, h in hashed if not h or h[1:] not in gone]
-        lost = sum(len(h[3]) for _, h in hashed if h and h[1:] in gone)
-        total = len(text.split())
-        assert got[d] == (text if total and lost >= lines.COPY_SHARE * total else "\n".join(kept)), d
+        assert got[d] == "\n".join(line for line in text.split("\n") if (masked(line)[2], masked(line)[1]) not in gone), d
+
+
+def test_prose_of_a_leaf_stays(spark):
+    places = ["London", "bed", "Paris", "work", "Rome", "sleep"]
+    rows = [(i, f"I went to {p}\nalpha beta gamma delta epsilon zeta {p} eta", "k", i) for i, p in enumerate(places)]
+    got = {r.doc_id: r.text for r in lines.drop_recurring(_docs(spark, [(d, t + "\n" + _own(d), k, n) for d, t, k, n in rows])).collect()}
+    assert all(t.split("\n")[0] == f"I went to {places[d]}" for d, t in got.items())
+    assert all(len(t.split("\n")) == 2 for t in got.values())  # seven of eight words agree
+
+
+def _own(d, n=120):
+    rng = random.Random(d)
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n))
+
+
+def test_short_lines_and_supports(spark):
+    rows = [(d, f"Share this page\n{_own(d)}\nsome words of a footer that all have", "k", d) for d in range(12)]
+    docs = _docs(spark, rows)
+    assert all(r.text == _own(r.doc_id) for r in lines.drop_recurring(docs).collect())
+    few = {r.doc_id: r.text for r in lines.drop_recurring(docs.filter("doc_id < 9")).collect()}
+    assert all(t == f"Share this page\n{_own(d)}" for d, t in few.items())
+    assert Counter(r.text for r in lines.drop_recurring(docs, min_docs=13, short_docs=13).collect()) == Counter(r[1] for r in rows)
+
+
+def test_counts_beside_columns_of_their_names(spark):
+    docs = spark.createDataFrame([(1, "a b", 77, 5)], "doc_id long, text string, n_lines int, N_DROPPED int")
+    got = lines.drop_recurring(docs, counts=True)
+    assert got.columns == ["doc_id", "text", "n_lines", "N_DROPPED", "n_lines_", "n_dropped_"]
+    assert tuple(got.first()) == (1, "a b", 77, 5, 1, 0)
 
 
 def test_passages_within_lines_of_two_documents(spark):
