@@ -19,9 +19,9 @@ whole where d positions at most differ, so no line is held against every templat
 
 With ``passage``, a run of that many words or more that two dissimilar texts share goes
 too, wherever it lies in its lines.  Every window of ``passage`` words holds its
-least-hashed run of GRAM words (an anchor), so texts that share a window share that run,
-and the words of half a window to one side of it.  Only texts with such a half in
-common with others are read again, for the windows around it.
+least-hashed run of GRAM words (an anchor), so texts that share a window share that run
+and one of SIDES longer runs around it.  Only texts with such a run in common with
+others are read again, for the windows around it.
 """
 
 from __future__ import annotations
@@ -33,12 +33,13 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from millrace.llm.common import fresh, map_batches, quoted, sorted_runs
+from millrace.llm.common import fresh, key_filter, map_batches, portions, quoted, sorted_runs, text_buffers
 from millrace.llm.simhash import components
 from millrace.plans.lineage import working_table
 from millrace.plans.shipping import worker_cache
@@ -51,36 +52,70 @@ SHORT_DOCS = 10
 SIMILARITY = 0.75
 PASSAGE = 50
 GRAM = 6
+SIDES = 4
 COPY_ANCHORS = 0.3
 #: Holders of one anchor that are put in order together, at most about.
 HOLDERS = 100_000
 #: Rows of a table of busy leaves up to which it is broadcast.
 BROADCAST_ROWS = 200_000
-_TOKEN = re.compile(r"\S+")
-_DIGIT = re.compile(r"\d")
+#: Words are runs of other bytes than ASCII white space.
+_TOKEN = re.compile(r"[^ \t\n\r\f\v]+")
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_DIGIT = np.isin(np.arange(256), np.arange(48, 58)).astype(np.uint8)
 _BASE = 0x9E3779B97F4A7C15
 _VARIABLE = np.uint64(0x5851F42D4C957F2D)
+#: Of a run's hash the bits that order runs; the others hold its place.
+_PLACE = np.uint64((1 << 30) - 1)
+_LONG = 1 << 16
 
 
-class TokenHashes(dict):
-    """token -> 64 bits, the last of which says that it is variable."""
+def _weights() -> tuple[np.ndarray, np.ndarray]:
+    """(64 bits for each byte, none for white space; a weight for each place in a word)."""
+    cache = worker_cache()
+    if "line_weights" not in cache:
+        of_byte = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
+        of_byte[_SPACE] = 0
+        cache["line_weights"] = of_byte, _mixed(np.arange(1, _LONG + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+    return cache["line_weights"]
+
 
-    def __missing__(self, token: str) -> int:
-        import xxhash
+def tokenised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(64 bits of each word, its text, its line) of texts in one buffer; the last bit says that a word is variable.
 
-        if len(self) > 200_000:
-            self.clear()
-        found = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass")) & ~1 | (_DIGIT.search(token) is not None)
-        self[token] = found
-        return found
+    Lines are numbered through all texts, each of which has one at least.
+    """
+    solid = ~_SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    begins = solid & edge[:-1]
+    begins[1:] |= solid[1:] & ~solid[:-1]
+    begins = np.flatnonzero(begins)
+    if not len(begins):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    of_byte, of_place = _weights()
+    found = np.empty(len(begins), np.uint64)
+    variable = np.empty(len(begins), np.uint8)
+    at = 0
+    while at < len(begins):  # a quarter of a megabyte at a time, or one word
+        end = max(at + 1, int(np.searchsorted(begins, begins[at] + (1 << 18))))
+        low, high = int(begins[at]), int(begins[end]) if end < len(begins) else len(data)
+        first, part = begins[at:end] - low, data[low:high]
+        place = np.arange(high - low) - np.repeat(first, np.diff(first, append=high - low))
+        weight = of_place[place & (_LONG - 1)]
+        if len(place) > _LONG:
+            weight = weight + (place >> 16).astype(np.uint64) * np.uint64(_BASE)
+        found[at:end] = np.add.reduceat(of_byte[part] * weight, first)
+        variable[at:end] = np.maximum.reduceat(_DIGIT[part], first)
+        at = end
+    text = np.searchsorted(offsets, begins, "right") - 1
+    line = np.searchsorted(np.flatnonzero(data == 10), begins) + text
+    return _mixed(found) & ~np.uint64(1) | variable, text, line
 
 
 def word_hashes(tokens: list[str]) -> np.ndarray:
     """64 bits of each token."""
-    cache = worker_cache()
-    if "line_tokens" not in cache:
-        cache["line_tokens"] = TokenHashes()
-    return np.fromiter(map(cache["line_tokens"].__getitem__, tokens), np.uint64, len(tokens))
+    data = np.frombuffer(" ".join(tokens).encode("utf-8", "surrogatepass"), np.uint8)
+    return tokenised(data, np.array([0, len(data)]))[0]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -187,100 +222,131 @@ def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
     return value ^ (value >> np.uint64(32))
 
 
-def anchors(words: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each run of GRAM words, the least of them in each window of ``passage`` words).
+def windows(words: np.ndarray, ends: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each run of GRAM words, place of the least in each window of ``passage`` words, windows within a text).
 
-    A text shorter than a window has all its runs as anchors.
+    ``ends`` is for each word where its text ends.  Of equal runs the first counts.
     """
     grams = run_hashes(words, min(GRAM, passage))
     width = passage - min(GRAM, passage) + 1
+    least, have = grams & ~_PLACE | np.arange(len(grams)).astype(np.uint64), 1
     if len(grams) < width:
-        return grams, grams
-    least, have = grams, 1
+        return grams, np.zeros(0, np.int64), np.zeros(0, np.int64)
     while have < width:  # minima of windows of twice the width, until it is reached
         step = min(have, width - have)
         least = np.minimum(least[:-step], least[step:])
         have += step
-    return grams, least
+    inside = np.flatnonzero(np.arange(len(least)) + passage <= ends[: len(least)])
+    return grams, (least[inside] & _PLACE).astype(np.int64), inside
 
 
-def halves(words: np.ndarray, grams: np.ndarray, own: np.ndarray, passage: int) -> tuple[np.ndarray, ...]:
-    """(anchor, hash of the words that end with it, of those that begin with it) for each place of an anchor.
+def anchors(words: np.ndarray, sizes: np.ndarray, passage: int) -> tuple[np.ndarray, ...]:
+    """(text, anchor, SIDES hashes of longer runs around it), without repeats.
 
-    Any window around an anchor holds half of the words beside it on one side; where a
-    text has fewer words there the hash is the anchor's own.
+    A text shorter than a window (``sizes`` is each text's count of words) has all its
+    runs as anchors.  A window around an anchor has a part of its other words before it;
+    by that part, in steps, it holds one of the longer runs whole, which are shorter
+    than a window by a step.  Where the text has no room for such a run its hash is 0.
     """
-    half = GRAM + (passage - GRAM) // 2
-    at = np.flatnonzero(np.isin(grams, own))
-    runs = run_hashes(words, half)
-    if not len(runs):
-        return grams[at], grams[at], grams[at]
-    back = at - (half - GRAM)
-    left = np.where(back >= 0, runs[np.maximum(back, 0)], grams[at])
-    right = np.where(at < len(runs), runs[np.minimum(at, len(runs) - 1)], grams[at])
-    return grams[at], left, right
+    gram = min(GRAM, passage)
+    step = -(-(passage - gram) // SIDES)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    grams, least, _ = windows(words, ends, passage)
+    chosen = np.repeat(sizes < passage, sizes)[: len(grams)] & (np.arange(len(grams)) + gram <= ends[: len(grams)])
+    chosen[least] = True
+    at = np.flatnonzero(chosen)
+    begin, end = (ends - np.repeat(sizes, sizes))[at], ends[at]
+    runs = run_hashes(words, passage - step)
+    found = [text[at], grams[at]]
+    for j in range(SIDES):
+        start = at - j * step
+        fits = (start >= begin) & (start + passage - step <= end)
+        found.append(np.where(fits, runs[np.clip(start, 0, len(runs) - 1)], np.uint64(0)) if len(runs) else np.zeros(len(at), np.uint64))
+    order = np.lexsort(found[::-1])
+    found = [x[order] for x in found]
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([x[1:] != x[:-1] for x in found], axis=0)
+    return tuple(x[new] for x in found)
+
+
+def _owned(owner: np.ndarray, *values: np.ndarray) -> np.ndarray:
+    """64 bits of a text's number and values of it."""
+    mixed = owner.astype(np.uint64) * np.uint64(_BASE)
+    for v in values:
+        mixed = _mixed(mixed + v.view(np.uint64))
+    return mixed
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """(row, value) of the elements of a list column; null lists have none."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), sizes), column.flatten()
 
 
 def _line_table(texts: DataFrame, min_tokens: int, leading: int, passage: int) -> DataFrame:
-    """(leaf, h1, h2, sig, doc) of the distinct lines of each text, and with a null sig its anchors (h1) with their sides (leaf, h2)."""
+    """(leaf, h1, h2, sig, doc, size, side2 ..) of the distinct lines of each text, and with a null sig its anchors (h1) with their sides (leaf, h2, side2 ..).
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
-        tokens: list[str] = []
-        sizes, owner, marks = [], [], []
-        for i, text in enumerate(batch.column(1).to_pylist()):
-            for line in text.split("\n"):
-                own = line.split()
-                if own:
-                    tokens += own
-                    sizes.append(len(own))
-                    owner.append(i)
-        if not sizes:
-            return None
-        words = word_hashes(tokens)
-        size, owner = np.array(sizes), np.array(owner)
-        ends = np.concatenate([[0], np.cumsum(size)])
-        cuts = np.flatnonzero(np.diff(owner)) + 1
-        for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(owner)]):
-            part = words[ends[a] : ends[z]]
-            grams, least = anchors(part, passage)
-            found = halves(part, grams, np.unique(least), passage)
-            _, one = np.unique(np.stack(found), axis=1, return_index=True) if len(found[0]) > 1 else (None, np.arange(len(found[0])))
-            marks.append((np.full(len(one), keys[owner[a]]), *(x[one].view(np.int64) for x in found)))
+    ``size`` is the number of the text's distinct anchors.
+    """
+
+    names = ["leaf", "h1", "h2", "sig", "doc", "size", *(f"side{j}" for j in range(2, SIDES))]
+
+    def part(keys: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> list[pa.RecordBatch]:
+        words, text, line = tokenised(data, offsets)
+        if not len(words):
+            return []
+        size = np.bincount(line)
+        size = size[size > 0]
+        owner = text[np.cumsum(size) - size]
         leaf, h1, h2, by_template, short = hashed_lines(words, size, min_tokens, leading)
         order = np.lexsort((h2, h1, owner))  # of equal lines of a text one is enough
         same = np.concatenate([[False], (owner[order][1:] == owner[order][:-1]) & (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])])
-        keep = np.sort(order[~same])
-        width = np.where(by_template[keep], size[keep], 0)
         flags = np.zeros(len(size), bool)
-        flags[keep] = by_template[keep]
-        data = short[np.repeat(flags, size)]
-        offsets = np.concatenate([[0], np.cumsum(2 * width)]).astype(np.int32)
-        sig = pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
-        lines = pa.RecordBatch.from_arrays([pa.array(leaf[keep]), pa.array(h1[keep]), pa.array(h2[keep]), sig, pa.array(keys[owner[keep]])], names=["leaf", "h1", "h2", "sig", "doc"])
-        doc, anchor, left, right = (np.concatenate([m[k] for m in marks]) for k in range(4))
-        beside = pa.RecordBatch.from_arrays([pa.array(left), pa.array(anchor), pa.array(right), pa.nulls(len(doc), pa.binary()), pa.array(doc)], names=["leaf", "h1", "h2", "sig", "doc"])
-        return pa.Table.from_batches([lines, beside]).combine_chunks().to_batches()[0]
+        flags[order[~same]] = True
+        keep = np.flatnonzero(flags)
+        data = short[np.repeat(flags & by_template, size)]
+        ends = np.concatenate([[0], np.cumsum(np.where(by_template[keep], 2 * size[keep], 0))]).astype(np.int32)
+        sig = pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+        lines = pa.RecordBatch.from_arrays([pa.array(leaf[keep]), pa.array(h1[keep]), pa.array(h2[keep]), sig, pa.array(keys[owner[keep]]), pa.nulls(len(keep), pa.int32()), *[pa.nulls(len(keep), pa.int64())] * (SIDES - 2)], names=names)
+        own, *hashes = anchors(words, np.bincount(text, minlength=len(keys)), passage)
+        new = np.append(True, (own[1:] != own[:-1]) | (hashes[0][1:] != hashes[0][:-1]))[: len(own)]
+        count = np.bincount(own[new], minlength=len(keys)).astype(np.int32)
+        anchor, *sides = (pa.array(x.view(np.int64)) for x in hashes)
+        return [lines, pa.RecordBatch.from_arrays([sides[0], anchor, sides[1], pa.nulls(len(own), pa.binary()), pa.array(keys[own]), pa.array(count[own]), *sides[2:]], names=names)]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        data, offsets = text_buffers(batch.column(1))
+        made = [x for a, z in portions(offsets) for x in part(keys[a:z], data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a])]
+        return pa.Table.from_batches(made).combine_chunks().to_batches()[0] if made else None
 
-    return map_batches(texts, run, "leaf long, h1 long, h2 long, sig binary, doc long")
+    return map_batches(texts, run, "leaf long, h1 long, h2 long, sig binary, doc long, size int, " + ", ".join(f"side{j} long" for j in range(2, SIDES)))
 
 
-def copies(marks: DataFrame) -> DataFrame:
-    """(doc, vote): the text as whose copy a text counts, for texts (doc) with anchors (h1) that have one.
+def shared_anchors(marks: DataFrame) -> DataFrame:
+    """The rows of anchors that several texts hold, with the first holder (first) and the number of rows (n)."""
+    held = marks.groupBy("h1").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).filter("first <> last").drop("last")
+    held = working_table(held, "line-held")
+    known = key_filter(held, "h1")
+    return (marks.filter(known("h1")) if known else marks).join(held, "h1")
+
+
+def copies(shared: DataFrame) -> DataFrame:
+    """(doc, vote): the text as whose copy a text counts, for texts (doc) that have one.
 
     Each text is held against the first holder of its anchors and the holder before
     it; two that share COPY_ANCHORS of the anchors of either are in one group.
     """
-    marks = marks.select("doc", "h1").distinct()
-    held = marks.groupBy("h1").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("a")).filter("n > 1")
     # An anchor of a large part of all texts is cut into parts, each with its own order.
     part = F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / HOLDERS))
+    placed = shared.select("h1", part.alias("part"), "doc", F.col("first").alias("a")).distinct().repartition("h1", "part")
     before = Window.partitionBy("h1", "part").orderBy("doc")
-    others = marks.join(held, "h1").withColumn("part", part).select("doc", "a", F.lag("doc").over(before).alias("b"))
-    others = others.select("doc", F.explode(F.array_distinct(F.array("a", "b"))).alias("other")).filter("other <> doc")
-    shared = others.groupBy("doc", "other").agg(F.count(F.lit(1)).alias("n"))
-    sizes = marks.groupBy("doc").agg(F.count(F.lit(1)).alias("size"))
-    known = shared.join(sizes, "doc").join(sizes.select(F.col("doc").alias("other"), F.col("size").alias("size_other")), "other")
+    others = placed.select("doc", "a", F.lag("doc").over(before).alias("b")).select("doc", F.explode(F.array_distinct(F.array("a", "b"))).alias("other")).filter("other <> doc")
+    common = others.groupBy("doc", "other").agg(F.count(F.lit(1)).alias("n"))
+    sizes = shared.groupBy("doc").agg(F.first("size").alias("size"))
+    known = common.join(sizes, "doc").join(sizes.select(F.col("doc").alias("other"), F.col("size").alias("size_other")), "other")
     edges = known.filter(F.col("n") >= COPY_ANCHORS * F.greatest("size", "size_other")).select(F.col("doc").alias("a"), F.col("other").alias("b"))
     return components(edges).select(F.col("fp").alias("doc"), F.col("root").alias("vote"))
 
@@ -290,40 +356,46 @@ def _voted(rows: DataFrame, votes: DataFrame) -> DataFrame:
     return rows.join(votes, "doc", "left").withColumn("vote", F.coalesce("vote", "doc"))
 
 
-def shared_passages(texts: DataFrame, marks: DataFrame, votes: DataFrame, passage: int) -> DataFrame:
+def shared_passages(texts: DataFrame, shared: DataFrame, votes: DataFrame, passage: int) -> DataFrame:
     """(doc, passages): for each text key the hashes of its windows that a dissimilar text has too."""
 
     def of_several(rows: DataFrame, h: str) -> DataFrame:
         return rows.groupBy(h).agg(F.min("vote").alias("a"), F.max("vote").alias("b")).filter("a <> b").select(h)
 
-    voted = working_table(_voted(marks, votes), "line-anchors")
-    sides = voted.select("doc", "vote", "h1", F.explode(F.array_distinct(F.array("leaf", "h2"))).alias("side"))
+    sides = _voted(shared, votes).select("doc", "vote", "h1", F.explode(F.array("leaf", "h2", *(f"side{j}" for j in range(2, SIDES)))).alias("side")).filter("side <> 0")
     wanted = sides.join(of_several(sides, "side"), "side").groupBy("doc").agg(F.collect_set("h1").alias("marks"))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        wins, doc = [], []
-        for key, text, own in zip(*(c.to_pylist() for c in batch.columns)):
-            words = word_hashes(text.split())
-            if len(words) < passage:
-                continue
-            known = np.isin(anchors(words, passage)[1].view(np.int64), np.array(own, np.int64))
-            found = np.unique(run_hashes(words, passage)[known].view(np.int64))
-            wins.append(found)
-            doc.append(np.full(len(found), key, np.int64))
-        empty = [np.zeros(0, np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(wins or empty)), pa.array(np.concatenate(doc or empty))], names=["win", "doc"])
+    def part(keys: np.ndarray, data: np.ndarray, offsets: np.ndarray, marked: pa.ListArray) -> list[np.ndarray]:
+        words, text, _ = tokenised(data, offsets)
+        sizes = np.bincount(text, minlength=len(keys))
+        grams, least, inside = windows(words, np.repeat(np.cumsum(sizes), sizes), passage)
+        owner, marks = _flat(marked)
+        known = np.isin(_owned(text[inside], grams[least]), _owned(owner, marks.to_numpy(zero_copy_only=False)))
+        inside = inside[known]
+        found = np.stack([keys[text[inside]], run_hashes(words, passage)[inside].view(np.int64)]) if len(inside) else np.zeros((2, 0), np.int64)
+        return np.unique(found, axis=1)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        data, offsets = text_buffers(batch.column(1))
+        made = [part(keys[a:z], data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a], batch.column(2).slice(a, z - a)) for a, z in portions(offsets)]
+        doc, win = np.concatenate(made, axis=1) if made else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(win), pa.array(doc)], names=["win", "doc"])
 
+    wanted = working_table(wanted, "line-wanted")
+    held = key_filter(wanted, "doc")
     # Copies of a text fall together on the map side, so no hot text meets its marks.
-    once = texts.dropDuplicates(["doc"])
-    windows = working_table(map_batches(once.join(wanted, "doc").select("doc", "text", "marks"), run, "win long, doc long"), "line-windows")
-    return windows.join(of_several(_voted(windows, votes), "win"), "win").groupBy("doc").agg(F.collect_list("win").alias("passages"))
+    once = (texts.filter(held("doc")) if held else texts).dropDuplicates(["doc"])
+    table = working_table(map_batches(once.join(wanted, "doc").select("doc", "text", "marks"), run, "win long, doc long"), "line-windows")
+    return table.join(of_several(_voted(table, votes), "win"), "win").groupBy("doc").agg(F.collect_list("win").alias("passages"))
 
 
 def boilerplate(texts: DataFrame, similarity: float, min_docs: int, short_docs: int, min_tokens: int, leading: int, passage: int | None) -> DataFrame:
     """(doc, drop, passages): for each text key the hashes of its lines and passages to drop."""
     table = working_table(_line_table(texts, min_tokens, leading, passage or PASSAGE), "line-hashes")
     lines, marks = table.filter("sig is not null"), table.filter("sig is null").drop("sig")
-    votes = working_table(copies(marks), "line-votes")
+    shared = working_table(shared_anchors(marks), "line-anchors")
+    votes = working_table(copies(shared), "line-votes")
     needed = F.when(F.max(F.length("sig")) > 0, min_docs).otherwise(short_docs)
     busy = working_table(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b"), needed.alias("needed")).filter("n >= needed and a <> b").select("leaf"), "line-leaves")
     kept = lines.join(F.broadcast(busy) if busy.count() <= BROADCAST_ROWS else busy, "leaf")
@@ -355,16 +427,7 @@ def boilerplate(texts: DataFrame, similarity: float, min_docs: int, short_docs:
     drops = kept.select("h1", "h2", "doc").join(gone, ["h1", "h2"]).groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
     if passage is None:
         return drops.withColumn("passages", F.lit(None).cast("array<bigint>"))
-    return drops.join(shared_passages(texts, marks, votes, passage), "doc", "full")
-
-
-def in_passage(words: np.ndarray, windows: list[int], passage: int) -> np.ndarray:
-    """Whether each word lies in one of the windows."""
-    hit = np.isin(run_hashes(words, passage).view(np.int64), np.array(windows, np.int64))
-    edges = np.zeros(len(words) + 1, np.int64)
-    edges[: len(hit)] += hit
-    edges[passage : passage + len(hit)] -= hit
-    return np.cumsum(edges)[:-1] > 0
+    return drops.join(shared_passages(texts, shared, votes, passage), "doc", "full")
 
 
 def _without(line: str, gone: list[bool]) -> str:
@@ -378,29 +441,39 @@ def _without(line: str, gone: list[bool]) -> str:
     return "".join([*out, line[at:]]).rstrip() if gone[-1] else "".join([*out, line[at:]])
 
 
-def _cleaned(batch_texts: list, batch_drops: list, batch_passages: list, min_tokens: int, leading: int, passage: int | None) -> tuple[list, list, list]:
-    texts, counts, dropped = [], [], []
-    for text, drop, windows in zip(batch_texts, batch_drops, batch_passages):
-        lines = text.split("\n")
-        counts.append(len(lines))
-        split = [line.split() for line in lines]
-        sizes = np.array([len(x) for x in split])
-        words = word_hashes([t for x in split for t in x])
-        used = np.flatnonzero(sizes)
-        goes = np.zeros(len(lines), bool)
-        if drop and len(used):
-            gone = {(d["h1"], d["h2"]) for d in drop}
-            _, h1, h2, _, _ = hashed_lines(words, sizes[used], min_tokens, leading)
-            goes[used] = [x in gone for x in zip(h1.tolist(), h2.tolist())]
-        spliced = in_passage(words, windows, passage).tolist() if windows else None
-        kept, total = [], 0
-        for line, n, whole in zip(lines, sizes.tolist(), goes.tolist()):
-            marked = spliced[total : total + n] if spliced else []
-            total += n
-            if whole or marked and all(marked):
+def _cleaned(column: pa.Array, drops: pa.ListArray, passages: pa.ListArray, min_tokens: int, leading: int, passage: int | None) -> tuple[list, list, list]:
+    """(text, lines it had, lines it lost) of each text."""
+    data, offsets = text_buffers(column)
+    words, text, line = tokenised(data, offsets)
+    ends = np.append(np.searchsorted(np.flatnonzero(data == 10), offsets[1:]) + np.arange(1, len(column) + 1), 0)  # of each text's lines
+    size = np.bincount(line, minlength=ends[-2] if len(column) else 0)
+    used = np.flatnonzero(size)
+    goes, spliced = np.zeros(len(size), bool), np.zeros(len(words) + 1, np.int64)
+    if len(used):
+        owner = text[np.cumsum(size[used]) - size[used]]
+        _, h1, h2, _, _ = hashed_lines(words, size[used], min_tokens, leading)
+        of, gone = _flat(drops)
+        goes[used] = np.isin(_owned(owner, h1, h2), _owned(of, *(gone.field(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2"))))
+        of, wins = _flat(passages)
+        if len(of):
+            runs = run_hashes(words, passage)
+            hit = np.isin(_owned(text[: len(runs)], runs), _owned(of, wins.to_numpy(zero_copy_only=False)))
+            spliced[: len(hit)] += hit
+            spliced[passage : passage + len(hit)] -= hit
+    marks = (np.cumsum(spliced) > 0).tolist()
+    stops = np.cumsum(size).tolist()
+    size, goes = size.tolist(), goes.tolist()
+    texts, counts, dropped, at = [], [], [], 0
+    for whole, end in zip(column.to_pylist(), ends.tolist()):
+        lines, kept = whole.split("\n"), []
+        for one, k in zip(lines, range(at, end)):
+            marked = marks[stops[k] - size[k] : stops[k]]
+            if goes[k] or marked and all(marked):
                 continue
-            kept.append(_without(line, marked) if any(marked) else line)
+            kept.append(_without(one, marked) if any(marked) else one)
+        at = end
         texts.append("\n".join(kept))
+        counts.append(len(lines))
         dropped.append(len(lines) - len(kept))
     return texts, counts, dropped
 
@@ -428,7 +501,9 @@ def drop_recurring(docs: DataFrame, text: str = "text", similarity: float = SIMI
     keyed = docs.filter(quoted(text).isNotNull()).withColumn(key, F.xxhash64(quoted(text)))
     texts = keyed.select(F.col(key).alias("doc"), quoted(text).alias("text"))
     drops = boilerplate(texts, similarity, min_docs, short_docs, min_tokens, leading, passage).withColumnsRenamed({"doc": key, "drop": drop, "passages": spliced})
-    joined = keyed.join(drops, key, "left")
+    drops = working_table(drops, "line-drops")
+    held = key_filter(drops, key)
+    joined = (keyed.filter(held(key)) if held else keyed).join(drops, key, "left")
     names = docs.columns
     position = names.index(text)
     extra: list[str] = []
@@ -443,13 +518,21 @@ def drop_recurring(docs: DataFrame, text: str = "text", similarity: float = SIMI
     loses = F.col(drop).isNotNull() | F.col(spliced).isNotNull()
     touched = joined.filter(loses).select(*[quoted(c) for c in names], F.col(drop), F.col(spliced))
     columns = [quoted(c) for c in names]
-    plain = joined.filter(~loses).select(*columns).unionByName(docs.filter(quoted(text).isNull()).select(*columns))
+    plain = joined.filter(~loses).select(*columns)
+    if held:
+        plain = plain.unionByName(keyed.filter(~held(key)).select(*columns))
+    plain = plain.unionByName(docs.filter(quoted(text).isNull()).select(*columns))
     if counts:
         plain = plain.select(*columns, F.when(quoted(text).isNull(), 0).otherwise(F.size(F.split(quoted(text), "\n", -1))).alias(extra[0]), F.lit(0).alias(extra[1]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         columns = [batch.column(i) for i in range(len(names))]
-        texts, n, gone = _cleaned(columns[position].to_pylist(), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), min_tokens, leading, passage)
+        data, at = text_buffers(columns[position])
+        texts, n, gone = [], [], []
+        for a, z in portions(at):
+            parts = _cleaned(*(c.slice(a, z - a) for c in (columns[position], batch.column(len(names)), batch.column(len(names) + 1))), min_tokens, leading, passage)
+            for held, new in zip((texts, n, gone), parts):
+                held += new
         columns[position] = pa.array(texts, pa.string())
         if counts:
             columns += [pa.array(n, pa.int32()), pa.array(gone, pa.int32())]
