@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.plans import sqlfront
 from millrace.plans.queries_api import API
+from millrace.plans.queries_engine import ENGINE
 from millrace.plans.queries_sql import SQL
 from millrace.session import prepare
 from millrace.sources import tables
@@ -40,7 +41,7 @@ def _from_api(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 for _name, (_spark, _duck) in SQL.items():
     QUERIES[_name] = _from_sql(_spark)
     ORACLE[_name] = _duck or _spark
-for _name, (_fn, _duck) in API.items():
+for _name, (_fn, _duck) in (API | ENGINE).items():
     QUERIES[_name] = _from_api(_fn)
     if _duck:
         ORACLE[_name] = _duck

@@ -26,6 +26,10 @@ def affinity(declared: str):
     return StringType()
 
 
+#: SQLite's types of cells that a column can give without loss.
+_FITTING = {LongType: "'integer','null'", DoubleType: "'integer','real','null'", StringType: "'text','integer','real','null','blob'", BinaryType: "'blob','text','null'"}
+
+
 class Rows(InputPartition):
     def __init__(self, low: int, high: int) -> None:
         super().__init__(low)
@@ -43,9 +47,13 @@ class SqliteSource(DataSource):
 
         with closing(sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True)) as db:
             found = db.execute(f"PRAGMA table_info({quoted(self.options['table'])})").fetchall()
-        if not found:
-            raise ValueError(f"no table {self.options['table']}")
-        return StructType([StructField(r[1], affinity(r[2])) for r in found])
+            if not found:
+                raise ValueError(f"no table {self.options['table']}")
+            # Cells may be of another type than their column: a column that holds such is text.
+            table = quoted(self.options["table"])
+            odd = ", ".join(f"max(typeof({quoted(r[1])}) NOT IN ({_FITTING[type(affinity(r[2]))]}))" for r in found)
+            mixed = db.execute(f"SELECT {odd} FROM {table}").fetchone()
+        return StructType([StructField(r[1], StringType() if m else affinity(r[2])) for r, m in zip(found, mixed)])
 
     def reader(self, schema: StructType) -> SqliteReader:
         return SqliteReader(schema, dict(self.options))
@@ -73,7 +81,7 @@ class SqliteReader(DataSourceReader):
         import sqlite3
         from contextlib import closing
 
-        turn = {"long": int, "double": float, "string": str, "binary": lambda v: v.encode() if isinstance(v, str) else bytes(v)}
+        turn = {"long": int, "double": float, "string": lambda v: v.decode("utf-8", "replace") if isinstance(v, bytes) else str(v), "binary": lambda v: v.encode() if isinstance(v, str) else bytes(v)}
         casts = [turn[k] for k in self.kinds]
         names = ", ".join(map(quoted, self.columns))
         with closing(sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)) as db:

@@ -1,14 +1,16 @@
 """Managed tables as immutable Parquet folders behind an atomic manifest.
 
-A change never reads and overwrites one path: it writes a new folder, then a new
-manifest, whose rename is the commit.  INSERT adds a folder; UPDATE and DELETE write
-the rewritten rows to a new one.  All files go through Hadoop's FileSystem, so the
+A change never reads and overwrites one path: it writes a new folder, then a manifest
+of the next version, whose rename is the commit: of two writers one fails.  INSERT adds
+a folder; UPDATE and DELETE write the rewritten rows to a new one.  Old folders stay
+for results not read yet until ``vacuum``.  All files go through Hadoop's FileSystem, so the
 base may be any shared store.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_MANIFEST = re.compile(r"/_manifest-(\d+)\.json$")
+
+
+class Conflict(ValueError):
+    """Another change of the table was committed first."""
+
+
 class Store:
     def __init__(self, spark: SparkSession, base: str) -> None:
         self.spark, self.base = spark, base.rstrip("/")
@@ -27,13 +36,19 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _manifest(self, name: str) -> str:
-        return f"{self.base}/{name.lower()}/_manifest.json"
+    def _versions(self, name: str) -> list[tuple[int, str]]:
+        """(version, path) of a table's manifests, the newest last."""
+        fs, p = self._fs(f"{self.base}/{name.lower()}")
+        if not fs.exists(p):
+            return []
+        found = [str(s.getPath()) for s in fs.listStatus(p) if s.isFile()]
+        return sorted((int(m[1]), f) for f in found if (m := _MANIFEST.search(f)))
 
     def _read(self, name: str) -> dict | None:
-        fs, p = self._fs(self._manifest(name))
-        if not fs.exists(p):
+        found = self._versions(name)
+        if not found:
             return None
+        fs, p = self._fs(found[-1][1])
         with_stream = fs.open(p)
         try:
             text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(with_stream, "UTF-8")
@@ -42,17 +57,50 @@ class Store:
         return json.loads(text)
 
     def _commit(self, name: str, manifest: dict) -> None:
-        fs, target = self._fs(self._manifest(name))
-        _, fresh = self._fs(f"{self.base}/{name.lower()}/_manifest-{uuid.uuid4().hex}.json")
+        """Make ``manifest`` the table's next version; a writer that came second fails."""
+        jvm = self.spark._jvm
+        fs, target = self._fs(f"{self.base}/{name.lower()}/_manifest-{manifest['version']:012d}.json")
+        _, fresh = self._fs(f"{self.base}/{name.lower()}/_new-{uuid.uuid4().hex}.json")
         out = fs.create(fresh)
         try:
             out.write(bytearray(json.dumps(manifest).encode()))
         finally:
             out.close()
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration())
-        overwrite = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        overwrite[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(fresh, target, overwrite)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration())
+        keep = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        keep[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        try:
+            context.rename(fresh, target, keep)
+        except Exception as error:
+            fs.delete(fresh, False)
+            if fs.exists(target):
+                raise Conflict(f"{name} was changed meanwhile: run the statement again") from error
+            raise
+
+    def _forget(self, *parts: str) -> None:
+        for part in parts:
+            fs, p = self._fs(part)
+            fs.delete(p, True)
+
+    def vacuum(self, name: str, keep: int = 1) -> int:
+        """Deletes the folders and manifests of all but the last ``keep`` versions; returns the number of folders.
+
+        Results that were asked for and not yet read may rest on older versions, so
+        nothing else deletes them.
+        """
+        found = self._versions(name)
+        used = set()
+        for _, path in found[-keep:]:
+            fs, p = self._fs(path)
+            stream = fs.open(p)
+            try:
+                used |= {x.rsplit("/", 1)[-1] for x in json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["parts"]}
+            finally:
+                stream.close()
+        fs, p = self._fs(f"{self.base}/{name.lower()}")
+        old = [str(s.getPath()) for s in fs.listStatus(p) if s.isDirectory() and s.getPath().getName() not in used]
+        self._forget(*old, *(path for _, path in found[:-keep]))
+        return len(old)
 
     def _write(self, name: str, df: DataFrame) -> str:
         path = f"{self.base}/{name.lower()}/{uuid.uuid4().hex}"
@@ -65,8 +113,7 @@ class Store:
         fs, p = self._fs(self.base)
         if not fs.exists(p):
             return []
-        found = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
-        return sorted(n for n in found if self._read(n) is not None)
+        return sorted(n for s in fs.listStatus(p) if s.isDirectory() and not (n := s.getPath().getName()).startswith("_"))
 
     def exists(self, name: str) -> bool:
         return self._read(name) is not None
@@ -111,13 +158,12 @@ class Store:
     # Change
 
     def _replace(self, name: str, df: DataFrame, found: dict) -> None:
-        old = found["parts"]
-        found["parts"] = [self._write(name, df)]
-        found["version"] += 1
-        self._commit(name, found)
-        for part in old:
-            fs, p = self._fs(part)
-            fs.delete(p, True)
+        part = self._write(name, df)
+        try:
+            self._commit(name, {**found, "parts": [part], "version": found["version"] + 1})
+        except Exception:
+            self._forget(part)
+            raise
 
     def _shaped(self, name: str, df: DataFrame, columns: list[str] | None) -> DataFrame:
         """Rows in the table's columns: by name if listed, else by place; defaults fill in."""
@@ -144,35 +190,67 @@ class Store:
                 if n:
                     raise ValueError(f"{n} rows break {rule}")
 
-    def insert(self, name: str, df: DataFrame, columns: list[str] | None = None, on_conflict: str | None = None) -> int:
-        """Adds rows and returns their number; ``on_conflict``: None (error), nothing or update."""
-        rows = self._shaped(name, df, columns)
+    def _unique(self, name: str, df: DataFrame, keys: list[list[str]]) -> None:
+        """Fails where values of a key repeat; rows with a NULL in it don't count."""
+        for key in keys:
+            if df.dropna(subset=key).groupBy(*key).count().filter("count > 1").limit(1).count():
+                raise ValueError(f"values of {key} repeat in {name}")
+
+    def insert(self, name: str, df: DataFrame, columns: list[str] | None = None, on_conflict: str | None = None, target: list[str] | None = None, assignments: dict[str, str] | None = None) -> int:
+        """Adds rows and returns their number; ``on_conflict``: None (error), nothing or update.
+
+        ``target`` names the key whose conflicts are handled (the first by default; for
+        nothing all of them); a conflict of another key is an error.  An update sets
+        ``assignments`` (SQL, where EXCLUDED is the new row), or all columns.
+        """
         found = self._known(name)
-        part = self._write(name, rows)
-        fresh = self.spark.read.schema(self.schema(name)).parquet(part)
+        part = self._write(name, self._shaped(name, df, columns))
+        try:
+            n, parts = self._added(name, found, part, on_conflict, target, assignments)
+            self._commit(name, {**found, "parts": parts, "version": found["version"] + 1})
+        except Exception:
+            self._forget(part)
+            raise
+        if part not in parts:
+            self._forget(part)
+        return n
+
+    def _added(self, name: str, found: dict, part: str, on_conflict: str | None, target: list[str] | None, assignments: dict[str, str] | None) -> tuple[int, list[str]]:
+        """(rows added or changed, the parts of the next version)."""
+        schema = T.StructType.fromJson(found["schema"])
+        fresh, there = self.spark.read.schema(schema).parquet(part), self.read(name)
         self._checked(name, fresh)
-        n = fresh.count()
+        self._unique("the new rows", fresh, found["keys"])
+        wanted = {c.lower() for c in target} if target else None
+        handled = [k for k in found["keys"] if wanted is None or {c.lower() for c in k} == wanted]
+        if wanted and not handled:
+            raise ValueError(f"no key of columns {target}")
+        handled = [] if on_conflict is None else handled[:1] if on_conflict == "update" else handled
         for key in found["keys"]:
-            full = fresh.dropna(subset=key)
-            if full.groupBy(*key).count().filter("count > 1").limit(1).count():
-                raise ValueError(f"values of {key} repeat among the new rows")
-            there = self.read(name).select(*key)
-            if on_conflict == "nothing":
-                fresh = fresh.join(there, key, "left_anti")
-            elif on_conflict == "update":
-                kept = self.read(name).join(fresh.select(*key), key, "left_anti").select(*fresh.columns)
-                self._replace(name, kept.unionByName(fresh), found)
-                return n
-            elif full.join(there, key, "left_semi").limit(1).count():
+            if key not in handled and on_conflict != "update" and fresh.dropna(subset=key).join(there, key, "left_semi").limit(1).count():
                 raise ValueError(f"a value of {key} exists")
-        if on_conflict == "nothing" and found["keys"]:
-            fresh = fresh.select(*self.schema(name).names)
-            part = self._write(name, fresh)
-            n = self.spark.read.schema(self.schema(name)).parquet(part).count()
-        found["parts"].append(part)
-        found["version"] += 1
-        self._commit(name, found)
-        return n
+        if not handled:
+            return fresh.count(), [*found["parts"], part]
+        if on_conflict == "nothing":
+            for key in handled:
+                fresh = fresh.join(there.select(*key), key, "left_anti").select(*schema.names)
+            rest = self._write(name, fresh)
+            return self.spark.read.schema(schema).parquet(rest).count(), [*found["parts"], rest]
+        key, columns = handled[0], [f"`{c}`" for c in schema.names]
+        by = {k.lower(): v for k, v in (assignments or {c: f"EXCLUDED.`{c}`" for c in schema.names}).items()}
+        given = fresh.select(F.lit(True).alias("_excluded"), *[F.col(c).alias(f"_excluded_{f}") for c, f in zip(columns, schema.names)])
+        met = there.alias(name.lower()).join(given, [F.col(f"{name.lower()}.`{k}`") == F.col(f"`_excluded_{k}`") for k in key], "left")
+        values = [(F.when(F.col("_excluded"), F.expr(_excluded(by[f.name.lower()], schema.names)).cast(f.dataType)).otherwise(F.col(f"{name.lower()}.`{f.name}`")) if f.name.lower() in by else F.col(f"{name.lower()}.`{f.name}`")).alias(f.name) for f in schema.fields]
+        merged = met.select(*values).unionByName(fresh.join(there.select(*key), key, "left_anti").select(*schema.names))
+        rest = self._write(name, merged)
+        try:
+            out = self.spark.read.schema(schema).parquet(rest)
+            self._checked(name, out)
+            self._unique(name, out, found["keys"])
+        except Exception:
+            self._forget(rest)
+            raise
+        return fresh.count(), [rest]
 
     def update(self, name: str, assignments: dict[str, Column | str], where: Column | str | None = None) -> int:
         """Sets columns of the rows for which ``where`` is true; returns their number."""
@@ -186,6 +264,7 @@ class Store:
         out = df.select(*[(F.when(hit, by[f.name.lower()].cast(f.dataType)).otherwise(F.col(f.name)) if f.name.lower() in by else F.col(f.name)).alias(f.name) for f in df.schema.fields])
         if n:
             self._checked(name, out)
+            self._unique(name, out, [k for k in found["keys"] if {c.lower() for c in k} & set(by)])
             self._replace(name, out, found)
         return n
 
@@ -213,18 +292,38 @@ class Store:
             self._replace(name, df, found)
 
 
+def _excluded(expression: str, names: list[str]) -> str:
+    """SQL with EXCLUDED.column as the columns that carry the new row."""
+    by = {n.lower(): n for n in names}
+    pattern = r"('(?:[^']|'')*')|\bEXCLUDED\s*\.\s*(?:`([^`]+)`|\"([^\"]+)\"|(\w+))"
+
+    def turn(m: re.Match) -> str:
+        return m[1] or "`_excluded_" + by[(m[2] or m[3] or m[4]).lower()] + "`"
+
+    return re.sub(pattern, turn, expression, flags=re.IGNORECASE)
+
+
 class MaterializedViews:
     """Saved query results with refresh metadata.
 
-    Stale on creation and whenever a table they read has another version than at
-    the last refresh; dependencies come from the analysed plan.
+    Stale on creation and whenever a table they read, by way of views too, has another
+    version than at the last refresh.  Definitions are kept in the store.  A view that
+    is refreshed ``on_commit`` follows each change of its tables.
     """
 
-    def __init__(self, store: Store, run) -> None:
-        self.store, self.run = store, run
+    def __init__(self, store: Store, run, tables_of) -> None:
+        self.store, self.run, self.tables_of = store, run, tables_of
         self.defined: dict[str, dict] = {}
+        known = store._read("_views")
+        if known:
+            self.defined = known["views"]
+        self.version = known["version"] if known else 0
 
-    def create(self, name: str, query: str, or_replace: bool = False, if_not_exists: bool = False, depends: list[str] | None = None) -> None:
+    def _save(self) -> None:
+        self.version += 1
+        self.store._commit("_views", {"views": self.defined, "version": self.version, "parts": []})
+
+    def create(self, name: str, query: str, or_replace: bool = False, if_not_exists: bool = False, depends: list[str] | None = None, on_commit: bool = False) -> None:
         name = name.lower()
         if name in self.defined and not or_replace:
             if if_not_exists:
@@ -232,9 +331,15 @@ class MaterializedViews:
             raise ValueError(f"materialized view {name} exists")
         if name in self.defined:
             self.drop(name)
-        words = {w.lower() for w in __import__("re").findall(r"\w+", query)}
-        used = depends if depends is not None else [t for t in self.store.names() if t in words]
-        self.defined[name] = {"query": query, "depends": used, "versions": None, "refreshed": None, "rows": None}
+        used = depends if depends is not None else sorted(self.tables_of(query))
+        self.defined[name] = {"query": query, "depends": used, "versions": None, "refreshed": None, "rows": None, "on_commit": on_commit}
+        self._save()
+
+    def changed(self, table: str) -> None:
+        """Refreshes the views that follow ``table``."""
+        for name, view in list(self.defined.items()):
+            if view["on_commit"] and table.lower() in view["depends"]:
+                self.refresh(name)
 
     def stale(self, name: str) -> bool:
         view = self.defined[name.lower()]
@@ -255,6 +360,7 @@ class MaterializedViews:
             self.store.create(target, df.schema)
             self.store.insert(target, df)
         view.update(versions=versions, refreshed=time.time(), rows=self.store.read(target).count())
+        self._save()
         return view["rows"]
 
     def read(self, name: str) -> DataFrame:
@@ -268,4 +374,5 @@ class MaterializedViews:
                 return
             raise ValueError(f"no materialized view {name}")
         del self.defined[name.lower()]
+        self._save()
         self.store.drop(f"mv_{name.lower()}", if_exists=True)

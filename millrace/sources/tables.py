@@ -56,9 +56,13 @@ def prepare_sql(spark: SparkSession) -> None:
     spark.conf.set(_READY, "true")
 
 
-def read_csv_auto(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:
-    """CSV with a header; text columns, '' as NULL (``infer``: types from the data)."""
-    return spark.read.csv(path, header=True, inferSchema=infer, nullValue="", emptyValue="")
+def read_csv_auto(spark: SparkSession, path: str, infer: bool = False, multiline: bool = True) -> DataFrame:
+    """CSV with a header; text columns, '' as NULL (``infer``: types from the data).
+
+    Quotes in quoted fields are doubled.  Fields may hold line breaks, so a file is read
+    by one task; ``multiline=False`` says that none does, and large files are split.
+    """
+    return spark.read.csv(path, header=True, inferSchema=infer, nullValue="", emptyValue="", quote='"', escape='"', multiLine=multiline)
 
 
 def read_json_auto(spark: SparkSession, path: str) -> DataFrame:
@@ -86,7 +90,7 @@ def write(df: DataFrame, path: str, format: str = "parquet", mode: str = "error"
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if format == "csv":
-        writer.csv(path, header=True)
+        writer.csv(path, header=True, quote='"', escape='"')
     elif format in ("json", "parquet", "orc"):
         writer.format(format).save(path)
     else:

@@ -65,3 +65,17 @@ def test_streaming_windows(spark, sf, tmp_path):
     W.refresh_on_arrival(live, str(tmp_path / "cp"), lambda df, n: seen.append(df.count())).awaitTermination()
     assert sum(seen) == events.count()
     assert W.distinct_within(events, "ts", "1 hour", ["event_type"]).count() == events.select("event_type").distinct().count()
+
+
+def test_csv_quotes_and_line_breaks(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'x "q" y'), (2, "two\nlines"), (3, "a,b")], "id int, s string")
+    tables.write(df.coalesce(1), str(tmp_path / "csv"), "csv")
+    assert sorted(map(tuple, tables.read_csv_auto(spark, str(tmp_path / "csv")).collect())) == [("1", 'x "q" y'), ("2", "two\nlines"), ("3", "a,b")]
+
+
+def test_sqlite_cells_of_other_types(spark, tmp_path):
+    path = str(tmp_path / "b.db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, n INTEGER, x REAL)")
+        db.executemany("INSERT INTO t VALUES (?, ?, ?)", [(1, 5, 1.5), (2, "many", 2), (3, None, None)])
+    assert sorted(map(tuple, tables.sqlite_scan(spark, path, "t").collect())) == [(1, "5", 1.5), (2, "many", 2.0), (3, None, None)]
