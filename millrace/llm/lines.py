@@ -240,8 +240,8 @@ def windows(words: np.ndarray, ends: np.ndarray, passage: int) -> tuple[np.ndarr
     return grams, (least[inside] & _PLACE).astype(np.int64), inside
 
 
-def anchors(words: np.ndarray, sizes: np.ndarray, passage: int) -> tuple[np.ndarray, ...]:
-    """(text, anchor, SIDES hashes of longer runs around it), without repeats.
+def anchors(words: np.ndarray, sizes: np.ndarray, passage: int, sides: bool = True) -> tuple[np.ndarray, ...]:
+    """(text, anchor, SIDES hashes of longer runs around it, if asked for), without repeats.
 
     A text shorter than a window (``sizes`` is each text's count of words) has all its
     runs as anchors.  A window around an anchor has a part of its other words before it;
@@ -259,7 +259,7 @@ def anchors(words: np.ndarray, sizes: np.ndarray, passage: int) -> tuple[np.ndar
     begin, end = (ends - np.repeat(sizes, sizes))[at], ends[at]
     runs = run_hashes(words, passage - step)
     found = [text[at], grams[at]]
-    for j in range(SIDES):
+    for j in range(SIDES if sides else 0):
         start = at - j * step
         fits = (start >= begin) & (start + passage - step <= end)
         found.append(np.where(fits, runs[np.clip(start, 0, len(runs) - 1)], np.uint64(0)) if len(runs) else np.zeros(len(at), np.uint64))
@@ -285,7 +285,7 @@ def _flat(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
     return np.repeat(np.arange(len(column)), sizes), column.flatten()
 
 
-def _line_table(texts: DataFrame, min_tokens: int, leading: int, passage: int) -> DataFrame:
+def _line_table(texts: DataFrame, min_tokens: int, leading: int, passage: int | None) -> DataFrame:
     """(leaf, h1, h2, sig, doc, size, side2 ..) of the distinct lines of each text, and with a null sig its anchors (h1) with their sides (leaf, h2, side2 ..).
 
     ``size`` is the number of the text's distinct anchors.
@@ -310,10 +310,11 @@ def _line_table(texts: DataFrame, min_tokens: int, leading: int, passage: int) -
         ends = np.concatenate([[0], np.cumsum(np.where(by_template[keep], 2 * size[keep], 0))]).astype(np.int32)
         sig = pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
         lines = pa.RecordBatch.from_arrays([pa.array(leaf[keep]), pa.array(h1[keep]), pa.array(h2[keep]), sig, pa.array(keys[owner[keep]]), pa.nulls(len(keep), pa.int32()), *[pa.nulls(len(keep), pa.int64())] * (SIDES - 2)], names=names)
-        own, *hashes = anchors(words, np.bincount(text, minlength=len(keys)), passage)
+        own, *hashes = anchors(words, np.bincount(text, minlength=len(keys)), passage or PASSAGE, passage is not None)
         new = np.append(True, (own[1:] != own[:-1]) | (hashes[0][1:] != hashes[0][:-1]))[: len(own)]
         count = np.bincount(own[new], minlength=len(keys)).astype(np.int32)
         anchor, *sides = (pa.array(x.view(np.int64)) for x in hashes)
+        sides = sides or [pa.nulls(len(own), pa.int64())] * SIDES
         return [lines, pa.RecordBatch.from_arrays([sides[0], anchor, sides[1], pa.nulls(len(own), pa.binary()), pa.array(keys[own]), pa.array(count[own]), *sides[2:]], names=names)]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -386,13 +387,13 @@ def shared_passages(texts: DataFrame, shared: DataFrame, votes: DataFrame, passa
     held = key_filter(wanted, "doc")
     # Copies of a text fall together on the map side, so no hot text meets its marks.
     once = (texts.filter(held("doc")) if held else texts).dropDuplicates(["doc"])
-    table = working_table(map_batches(once.join(wanted, "doc").select("doc", "text", "marks"), run, "win long, doc long"), "line-windows")
+    table = working_table(map_batches(once.join(wanted.hint("merge"), "doc").select("doc", "text", "marks"), run, "win long, doc long"), "line-windows")
     return table.join(of_several(_voted(table, votes), "win"), "win").groupBy("doc").agg(F.collect_list("win").alias("passages"))
 
 
 def boilerplate(texts: DataFrame, similarity: float, min_docs: int, short_docs: int, min_tokens: int, leading: int, passage: int | None) -> DataFrame:
     """(doc, drop, passages): for each text key the hashes of its lines and passages to drop."""
-    table = working_table(_line_table(texts, min_tokens, leading, passage or PASSAGE), "line-hashes")
+    table = working_table(_line_table(texts, min_tokens, leading, passage), "line-hashes")
     lines, marks = table.filter("sig is not null"), table.filter("sig is null").drop("sig")
     shared = working_table(shared_anchors(marks), "line-anchors")
     votes = working_table(copies(shared), "line-votes")
@@ -503,7 +504,7 @@ def drop_recurring(docs: DataFrame, text: str = "text", similarity: float = SIMI
     drops = boilerplate(texts, similarity, min_docs, short_docs, min_tokens, leading, passage).withColumnsRenamed({"doc": key, "drop": drop, "passages": spliced})
     drops = working_table(drops, "line-drops")
     held = key_filter(drops, key)
-    joined = (keyed.filter(held(key)) if held else keyed).join(drops, key, "left")
+    joined = (keyed.filter(held(key)) if held else keyed).join(drops.hint("merge"), key, "left")
     names = docs.columns
     position = names.index(text)
     extra: list[str] = []

@@ -92,11 +92,9 @@ def _votes(texts):
     return {t: root(t) for t in texts}
 
 
-def test_table_against_brute_force(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    got = {r.doc_id: r.text for r in lines.drop_recurring(docs).collect()}
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    vote = _votes(set(texts.values()))
+def brute_force(texts):
+    """The texts without their boilerplate lines."""
+    vote = _votes(set(texts))
 
     def masked(line):  # (leaf, words with the variable ones masked, whether by template)
         words = line.split()
@@ -105,8 +103,8 @@ def test_table_against_brute_force(spark, sf):
         return (len(words), *shape[: lines.LEADING]), shape if template else tuple(words), template
 
     leaves, exact = defaultdict(lambda: defaultdict(set)), defaultdict(set)
-    for t in set(texts.values()):
-        for line in t.split("\n"):
+    for t in set(texts):
+        for line in set(t.split("\n")):
             leaf, shape, template = masked(line)
             if shape:
                 (leaves[leaf][shape] if template else exact[shape]).add(vote[t])
@@ -118,8 +116,14 @@ def test_table_against_brute_force(spark, sf):
         for k, t in zip(keys, joined):
             users[t] |= leaf[k]
         gone |= {(True, k) for k, t in zip(keys, joined) if len(users[t]) >= lines.MIN_DOCS}
-    for d, text in texts.items():
-        assert got[d] == "\n".join(line for line in text.split("\n") if (masked(line)[2], masked(line)[1]) not in gone), d
+    return ["\n".join(line for line in text.split("\n") if (masked(line)[2], masked(line)[1]) not in gone) for text in texts]
+
+
+def test_table_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.text for r in lines.drop_recurring(docs).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert [got[d] for d in texts] == brute_force(list(texts.values()))
 
 
 def test_prose_of_a_leaf_stays(spark):

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from test_decontaminate import brute as leaks
+from test_lines import brute_force
 from test_packing import best_fit_decreasing
 
 import corpus_pipeline
@@ -39,26 +40,8 @@ def test_language_stage(stages):
 
 def test_line_stage(stages):
     before, after = ({r.doc_id: r for r in d.collect()} for d in stages[1])
-    leaves = defaultdict(dict)
-    for t in {r.text for r in before.values()}:
-        for line in set(t.split("\n")):
-            h = lines.line_hashes(line, lines.MIN_TOKENS, lines.LEADING)
-            if h:
-                leaves[h[0], len(h[3])].setdefault(h[1:], set()).add(t)
-    gone = set()
-    for leaf in leaves.values():
-        keys = sorted(leaf)
-        joined = lines.templates([k[2] for k in keys], lines.SIMILARITY)
-        users = defaultdict(set)
-        for k, t in zip(keys, joined):
-            users[t] |= leaf[k]
-        gone |= {k for k, t in zip(keys, joined) if len(users[t]) >= lines.MIN_DOCS}
-    for d, r in before.items():
-        hashed = [(x, lines.line_hashes(x, lines.MIN_TOKENS, lines.LEADING)) for x in r.text.split("\n")]
-        lost = sum(len(h[3]) for _, h in hashed if h and h[1:] in gone)
-        whole = lost >= lines.COPY_SHARE * len(r.text.split())
-        assert after[d].text == (r.text if whole else "\n".join(x for x, h in hashed if not h or h[1:] not in gone))
-        assert after[d].n_chars == len(after[d].text)
+    for (d, r), text in zip(before.items(), brute_force([r.text for r in before.values()])):
+        assert (after[d].text, after[d].n_chars) == (text, len(text))
 
 
 def test_near_duplicate_stage(stages):
