@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +39,28 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_RECORDS: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the working tables that are written inside."""
+    paths: list[str] = []
+    _RECORDS.append(paths)
+    try:
+        yield paths
+    finally:
+        _RECORDS[:] = [r for r in _RECORDS if r is not paths]
+
+
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes working tables that nothing reads any more."""
+    jvm = spark._jvm
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def working_table(df: DataFrame, name: str = "work") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it again.
 
@@ -44,5 +68,7 @@ def working_table(df: DataFrame, name: str = "work") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _RECORDS:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
