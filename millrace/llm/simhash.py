@@ -3,7 +3,7 @@
 Fingerprint: 256 signs of a sum of +-1 vectors, one for each distinct word.  Two
 documents are near duplicates at a Hamming distance of ``radius`` at most.
 
-Sharding: each fingerprint goes to ``tables`` shards, named by ``bits`` of its
+First pass: each fingerprint goes to ``tables`` shards, named by ``bits`` of its
 bits (a fixed random choice for each table).  ``shard_plan`` derives both numbers
 from the count of distinct fingerprints, so that a shard of unrelated documents
 holds a few of them at any size of corpus, and two documents whose distance is
@@ -15,6 +15,16 @@ node at distance d only edges d-radius .. d+radius are followed.  A fingerprint
 without a leader within the radius becomes one, so the work in a shard of a
 million copies grows with its leaders, not with the square of the copies.
 
+Second pass: the first leaves out pairs that share no shard, or share one in which
+they follow different leaders.  ``cross_edges`` finds every pair within the radius
+whose ends the first pass left in different groups, so groups are those of all pairs.
+Fingerprints are dealt to blocks and each pair of blocks is one cell of a grid.  In
+a cell the bits are cut into parts with thresholds t such that the t + 1 add up to
+radius + 1: of a pair within the radius some part differs in t bits at most, so
+looking up all values that near in each part misses none.  Runs of one part's value
+and group are passed over by queries of that group, so a large group doesn't cost
+its square.
+
 Shard trees stay with their shard's rows instead of being broadcast: together they
 grow with the corpus, so each is built in the task that has its queries.
 """
@@ -22,6 +32,8 @@ grow with the corpus, so each is built in the task that has its queries.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +49,12 @@ RADIUS = 40
 #: Two fingerprints at this distance meet in a shard with probability RECALL; nearer ones more surely.
 DESIGN = RADIUS
 RECALL = 0.95
+#: Fingerprints of a block at most, and blocks that a small table is cut into for the sake of parallel work.
+BLOCK_ROWS = 1 << 20
+SMALL_BLOCK_ROWS = 1 << 14
+SMALL_BLOCKS = 8
+#: Candidates that are compared at once.
+CANDIDATES_AT_ONCE = 1 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -126,7 +144,7 @@ class BKTree:
 
 
 def shard_edges(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """(fingerprint, leader) of one shard, in the order given."""
+    """(fingerprint, leader) of one shard, in the order given; pairs of followers are left to ``cross_edges``."""
     tree, edges = BKTree(values[0]), []
     for value in values[1:]:
         leaders = tree.within(value, radius)
@@ -137,6 +155,108 @@ def shard_edges(values: list[int], radius: int) -> list[tuple[int, int]]:
     return edges
 
 
+def part_plan(rows: int, radius: int) -> list[tuple[int, int, int]]:
+    """(first bit, end, threshold) of parts for a search among ``rows`` fingerprints.
+
+    Of two fingerprints within the radius some part differs in its threshold at most,
+    as the thresholds plus one add up to radius + 1.  More parts mean fewer values to
+    look up and more candidates; the cheapest number is taken.
+    """
+    best, plan = math.inf, []
+    for k in range(11, 65):
+        cuts = [BITS * i // k for i in range(k + 1)]
+        widths = [b - a for a, b in zip(cuts, cuts[1:])]
+        base, more = divmod(radius + 1, k)
+        wide = sorted(range(k), key=lambda i: -widths[i])[:more]
+        found = [(cuts[i], cuts[i + 1], base - 1 + (i in wide)) for i in range(k)]
+        if any(t >= b - a for a, b, t in found):
+            continue
+        looked = [sum(math.comb(b - a, j) for j in range(t + 1)) for a, b, t in found]
+        cost = sum(looked) + 2 * rows * sum(n / 2 ** (b - a) for n, (a, b, _) in zip(looked, found))
+        if cost < best:
+            best, plan = cost, [f for f in found if f[2] >= 0]
+    if not plan:
+        raise ValueError(f"no exact search for a radius of {radius} in {BITS} bits")
+    return plan
+
+
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start .. start + count - 1 of each, in a row."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
+
+
+def cross_pairs(left: np.ndarray, left_group: np.ndarray, right: np.ndarray, right_group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(left rows, right rows) of all pairs within the radius and of different groups.
+
+    Fingerprints are rows of BITS // 8 bytes; a pair may come more than once.
+    """
+    as_words = [np.ascontiguousarray(x).view(np.uint64) for x in (left, right)]
+    flat = [np.unpackbits(x, axis=1) for x in (left, right)]
+    for first, end, threshold in part_plan(len(right), radius):
+        width = end - first
+        weights = (1 << np.arange(width)).astype(np.float64)
+        mine, theirs = ((f[:, first:end] @ weights).astype(np.int64) for f in flat)
+        order = np.lexsort((right_group, theirs))
+        value, group = theirs[order], right_group[order]
+        run = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (group[1:] != group[:-1])])
+        run_group, run_rows = group[run], np.diff(np.r_[run, len(order)])
+        at = np.searchsorted(value[run], np.arange((1 << width) + 1))
+        masks = [sum(1 << b for b in bits) for n in range(threshold + 1) for bits in combinations(range(width), n)]
+        for mask in masks:
+            wanted = mine ^ mask
+            low = at[wanted]
+            count = at[wanted + 1] - low
+            query = np.flatnonzero(count)
+            runs = _spread(low[query], count[query])
+            query = np.repeat(query, count[query])
+            other = run_group[runs] != left_group[query]
+            query, runs = query[other], runs[other]
+            total = np.cumsum(run_rows[runs])
+            begin = 0
+            while begin < len(runs):
+                done = total[begin - 1] if begin else 0
+                stop = max(begin + 1, int(np.searchsorted(total, done + CANDIDATES_AT_ONCE, "right")))
+                few = runs[begin:stop]
+                a = np.repeat(query[begin:stop], run_rows[few])
+                b = order[_spread(run[few], run_rows[few])]
+                near = np.bitwise_count(as_words[0][a] ^ as_words[1][b]).sum(axis=1, dtype=np.int64) <= radius
+                if near.any():
+                    yield a[near], b[near]
+                begin = stop
+
+
+def cross_edges(rooted: DataFrame, n: int, radius: int) -> DataFrame:
+    """Distinct (a, b) of roots whose groups hold fingerprints within the radius of each other; rooted has columns fp and root."""
+    blocks = max(math.ceil(n / BLOCK_ROWS), min(SMALL_BLOCKS, math.ceil(n / SMALL_BLOCK_ROWS)), 1)
+    wide = BITS // 8
+    block = F.pmod(F.xxhash64("fp"), F.lit(blocks)).alias("block")
+    beside = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("beside")
+    cell = (F.least("block", "beside") * blocks + F.greatest("block", "beside")).alias("cell")
+    dealt = rooted.select("fp", "root", block).select("fp", "root", "block", beside).select(cell, "block", "fp", "root")
+
+    def search(batches):
+        for cell, parts in sorted_runs(batches, "cell"):
+            fps, roots = (np.frombuffer(b"".join(f for p in parts for f in p.column(c).to_pylist()), np.uint8).reshape(-1, wide) for c in ("fp", "root"))
+            names, group = np.unique(np.ascontiguousarray(roots).view(f"V{wide}").ravel(), return_inverse=True)
+            here = np.concatenate([p.column("block").to_numpy() for p in parts]) == cell // blocks
+            there = here if cell // blocks == cell % blocks else ~here
+            if not here.any() or not there.any():
+                continue
+            found: set[tuple[int, int]] = set()
+            mine, theirs = group[here], group[there]
+            for a, b in cross_pairs(fps[here], mine, fps[there], theirs, radius):
+                pairs = np.unique(np.stack([np.minimum(mine[a], theirs[b]), np.maximum(mine[a], theirs[b])], axis=1), axis=0)
+                found.update(map(tuple, pairs.tolist()))
+            if found:
+                left, right = ([names[p[i]].tobytes() for p in found] for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+
+    # One cell is one task's work, though little data: a fixed number of partitions isn't coalesced.
+    placed = dealt.repartition(min(blocks * (blocks + 1), 20_000), "cell").sortWithinPartitions("cell")
+    return placed.mapInArrow(search, "a binary, b binary").distinct()
+
+
 def _fingerprints(df: DataFrame, text: str, carried: list[str], fp: str, wordy: str) -> DataFrame:
     """Each row's carried columns and its fingerprint (null text: null)."""
     kept = df.select(*[quoted(c) for c in carried], quoted(text).cast("string").alias(fp + "t"))
@@ -158,7 +278,7 @@ def _fingerprints(df: DataFrame, text: str, carried: list[str], fp: str, wordy:
 
 
 def candidate_edges(nodes: DataFrame, n: int, radius: int, design: int, recall: float) -> DataFrame:
-    """Distinct (a, b) of fingerprints within the radius; nodes has column fp."""
+    """Distinct (a, b) of fingerprints within the radius, not all of them; nodes has column fp."""
     bits, tables = shard_plan(n, design, recall)
     masks = _masks(bits, tables)
 
@@ -218,11 +338,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _rooted(fps: DataFrame, radius: int, design: int, recall: float) -> DataFrame:
-    """(fp, root) of each distinct fingerprint; fps has columns fp and wordy."""
+    """(fp, root) of each distinct fingerprint by all pairs within the radius; fps has columns fp and wordy."""
     nodes = working_table(fps.filter("fp is not null").groupBy("fp").agg(F.first("wordy").alias("wordy")), "simhash-nodes")
     wordy = nodes.filter("wordy")
-    linked = components(candidate_edges(wordy, wordy.count(), radius, design, recall))
-    return nodes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    n = wordy.count()
+    linked = components(candidate_edges(wordy, n, radius, design, recall))
+    first = working_table(nodes.join(linked, "fp", "left").select("fp", "wordy", F.coalesce("root", "fp").alias("root")), "simhash-first")
+    # Roots are the least of their groups, so the least of joined roots is that of all.
+    joined = components(cross_edges(first.filter("wordy"), n, radius)).select(F.col("fp").alias("root"), F.col("root").alias("least"))
+    return first.join(joined, "root", "left").select("fp", F.coalesce("least", "root").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, design: int = DESIGN, recall: float = RECALL) -> DataFrame:

@@ -113,3 +113,49 @@ def test_maps_among_the_columns(spark):
     rows = [(2, "one two three four", {"a": 1}), (1, "one two three four", {"b": 2}), (1, "one two three four", {"b": 2}), (3, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>")
     assert sorted((r.doc_id, r.m) for r in simhash.drop_near_duplicates(docs).collect()) == [(1, {"b": 2}), (3, None)]
+
+
+def flipped(fp, bits):
+    value = int.from_bytes(fp, "big")
+    for b in bits:
+        value ^= 1 << int(b)
+    return value.to_bytes(32, "big")
+
+
+def test_cross_pairs_against_all_pairs():
+    rng = np.random.RandomState(3)
+    for radius, n in ((40, 1500), (40, 60), (9, 400), (0, 100)):
+        seeds = [rng.bytes(32) for _ in range(n // 4)]
+        fps = [flipped(s, rng.permutation(256)[: rng.randint(0, radius + 6)]) for s in seeds for _ in range(4)]
+        raw = np.frombuffer(b"".join(fps), np.uint8).reshape(-1, 32)
+        bits = np.unpackbits(raw, axis=1).astype(np.int32)
+        distance = bits.sum(1)[:, None] + bits.sum(1)[None, :] - 2 * bits @ bits.T
+        group = rng.randint(0, n // 2, n)
+        want = {(i, j) for i, j in np.argwhere(distance <= radius).tolist() if group[i] != group[j]}
+        got = {p for a, b in simhash.cross_pairs(raw, group, raw, group, radius) for p in zip(a.tolist(), b.tolist())}
+        assert got == want and want
+
+
+def test_followers_of_different_leaders_are_linked(spark):
+    """Chains of links at the radius itself, whatever shards hold them: no link is lost."""
+    rng = np.random.RandomState(5)
+    fps = []
+    for _ in range(300):
+        steps = rng.permutation(256)[:120].reshape(3, 40)
+        chain = [rng.bytes(32)]
+        for s in steps:
+            chain.append(flipped(chain[-1], s))
+        fps += chain
+    lone = [rng.bytes(32) for _ in range(400)]
+    table = spark.createDataFrame([(bytearray(f), True) for f in fps + lone], "fp binary, wordy boolean")
+    for recall in (simhash.RECALL, 0.01):
+        root = {bytes(r.fp): bytes(r.root) for r in simhash._rooted(table, simhash.RADIUS, simhash.DESIGN, recall).collect()}
+        for i in range(0, len(fps), 4):
+            assert {root[f] for f in fps[i : i + 4]} == {min(fps[i : i + 4])}
+        assert all(root[f] == f for f in lone)
+    # a and b follow leaders of their own in one shard: their link is in no tree.
+    base = bytes(32)
+    x, y = flipped(base, range(40)), flipped(base, range(40, 75))
+    first, last = flipped(base, range(216, 256)), flipped(y, range(100, 140))
+    table = spark.createDataFrame([(bytearray(f), True) for f in (base, x, y, first, last)], "fp binary, wordy boolean")
+    assert len({bytes(r.root) for r in simhash._rooted(table, simhash.RADIUS, simhash.DESIGN, simhash.RECALL).collect()}) == 1
