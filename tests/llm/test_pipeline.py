@@ -111,3 +111,21 @@ def test_stages_take_odd_rows(spark):
     assert sum(kept["line_dedup"].values()) == sum(kept["decontamination"].values()) == 35
     assert kept["near_dedup"][40] == kept["near_dedup"][41] == kept["near_dedup"][42] == 1
     assert kept["packing"][40] == kept["packing"][41] == 0 and kept["packing"][42] > 10
+
+
+def test_near_duplicate_stage_loses_no_link(spark):
+    """Pairs of texts about the radius apart: one of each pair within it goes, without exception."""
+    rng = np.random.RandomState(2)
+    texts = []
+    for i in range(500):
+        base = [f"w{i}x{j}" for j in range(200)]
+        other = base[:]
+        for j in rng.permutation(200)[:22]:
+            other[j] = f"v{i}x{j}"
+        texts += [" ".join(base), " ".join(other)]
+    raw = [np.unpackbits(np.frombuffer(simhash.text_fingerprint(t)[0], np.uint8)) for t in texts]
+    near = [int((raw[i] != raw[i + 1]).sum()) <= simhash.RADIUS for i in range(0, len(texts), 2)]
+    assert 100 < sum(near) < 500
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()}
+    assert kept == {i for i in range(len(texts)) if i % 2 == 0 or not near[i // 2]}
