@@ -1,13 +1,13 @@
 """Language-model scores by Ziv-Merhav cross-parsing.
 
-Reference text is every document labelled as good.  It is dealt by content hash to
-shards of about ``SHARD_CHARS`` characters, so their number grows with the corpus
-while each suffix automaton stays of one size.  A document is factored against one
-shard that its own content cannot be in (nor its exact copies'), chosen by hash: all
-reference text is used (copies once), every document meets the same amount of it at any size of
-corpus, and the work is linear.
-
-Over word tokens the automaton gives the longest match at each position; greedy
+Reference text is every document labelled as good, copies once.  A document is factored
+against all of it but its own text (and so its exact copies'), by a suffix array in the
+shared folder (``suffixes``).  With ``shard_chars`` the reference text is dealt by
+content hash to shards of about so many characters instead and a document meets one
+of them that its own content cannot be in: an estimate in memory of bounded size, which
+no query uses.
+
+Over word tokens the index gives the longest match at each position; greedy
 phrases count c.  With n words and N reference words, ``cross_bits`` = c log2(N) / n
 is the cross entropy a word, and ``relative_entropy`` takes off the document's own
 entropy by incremental (LZ78) parsing, k log2(k) / n for its k phrases.
@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import suffixes
 from millrace.llm.common import quoted, words
 
-SHARD_CHARS = 1_000_000
 #: Characters of documents that one group scores, at most about.
 GROUP_CHARS = 8_000_000
 #: Ids of good documents up to which they are broadcast.
@@ -121,6 +121,10 @@ def bits(phrases: int, own: int, n: int, reference: int) -> tuple[float, float]:
 SCHEMA = "doc_id long, n_words int, phrases int, self_phrases int, cross_bits double, relative_entropy double"
 
 
+NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int32()), ("phrases", pa.int32()), ("self_phrases", pa.int32()), ("cross_bits", pa.float64()), ("relative_entropy", pa.float64())])
+
+
 def placement(shards: int, content, row):
     """(reference shard, scoring shard) columns; never the same.
 
@@ -132,7 +136,28 @@ def placement(shards: int, content, row):
     return own, F.pmod(own + away, F.lit(shards))
 
 
-def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_chars: int = SHARD_CHARS, group_chars: int = GROUP_CHARS) -> DataFrame:
+def _score_whole(rows: DataFrame, good: DataFrame) -> DataFrame:
+    """``score`` of rows (doc_id, text) against all texts of the ids in ``good``."""
+    index = suffixes.build(rows.filter("text is not null").join(good, "doc_id", "left_semi").select("text").distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = (batch.column(c).to_pylist() for c in ("doc_id", "text"))
+            whole = [i for i, t in enumerate(texts) if t is not None]
+            kept = [texts[i] for i in whole]
+            hashed = [suffixes.word_hashes(t) for t in kept]
+            phrases, sizes = suffixes.count_phrases(index, kept, hashed) if index and kept else ([len(h) for h in hashed], [0] * len(kept))
+            out: list[tuple] = [(d, *[None] * (len(NAMES) - 1)) for d in ids]
+            for i, h, c, size in zip(whole, hashed, phrases, sizes):
+                n, k = len(h), lz78(h.tolist())
+                out[i] = (ids[i], n, int(c), k, *(bits(int(c), k, n, int(size)) if n else (None, None)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out), ARROW)], schema=ARROW)
+
+    return rows.mapInArrow(run, SCHEMA)
+
+
+def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_chars: int | None = None, group_chars: int = GROUP_CHARS) -> DataFrame:
     """Scores of every document: (doc_id, n_words, phrases, self_phrases, cross_bits, relative_entropy).
 
     Defined results: a null text has nulls; a text without a word has 0 words and
@@ -142,8 +167,10 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """
     rows = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("text"))
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    total, n = rows.agg(F.sum(F.length("text")), F.count(F.lit(1))).first()
     n_good = good.count()
+    if shard_chars is None:
+        return _score_whole(rows, F.broadcast(good) if n_good <= BROADCAST_IDS else good)
+    total, n = rows.agg(F.sum(F.length("text")), F.count(F.lit(1))).first()
     share = min(1.0, n_good / max(n, 1))
     shards = max(2, math.ceil((total or 0) * share / shard_chars))
     copies = max(1, math.ceil((total or 0) / shards / group_chars))
@@ -157,8 +184,7 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     spread = marked.filter("text is not null").withColumn("to", F.explode(F.when(F.col("good") == 1, F.concat(F.array(query), reference)).otherwise(F.array(query))))
     dealt = spread.select(F.col("to.part").alias("part"), F.col("to.kind").alias("kind"), "doc_id", "text")
 
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int32()), ("phrases", pa.int32()), ("self_phrases", pa.int32()), ("cross_bits", pa.float64()), ("relative_entropy", pa.float64())])
+    names, arrow = NAMES, ARROW
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A part's reference texts come first and only distinct ones are kept; its

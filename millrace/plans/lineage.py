@@ -61,14 +61,20 @@ def forget(spark: SparkSession, paths: list[str]) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def working_folder(spark: SparkSession, name: str = "work") -> str:
+    """The path of a new working table or of files in its place; recorded, not made."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _RECORDS:
+        paths.append(path)
+    return path
+
+
 def working_table(df: DataFrame, name: str = "work") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it again.
 
     Columnar and compressed, so smaller than a checkpoint; readers prune columns.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    for paths in _RECORDS:
-        paths.append(path)
+    path = working_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -82,3 +82,43 @@ def test_every_row_against_brute_force(spark, sf):
                 k += 1
             at, count = at + max(k, 1), count + 1
         assert got[r.doc_id].phrases == count
+
+
+@given(st.lists(st.lists(st.integers(1, 3), min_size=1, max_size=40), min_size=1, max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_suffixes_in_order(texts):
+    from millrace.llm import suffixes
+
+    flat = np.array([w for t in texts for w in [*t, 0]] + [0] * suffixes.STRIDE, np.uint64)
+    ends = np.flatnonzero(flat == 0)
+    tail = lambda p: flat[p : ends[np.searchsorted(ends, p)]].tolist()
+    at = np.flatnonzero(flat)
+    got = suffixes.sort_suffixes(flat, at)
+    assert sorted(got.tolist()) == at.tolist() and [tail(p) for p in got] == sorted(tail(p) for p in at)
+
+
+def test_every_row_against_the_whole_reference(spark, sf, monkeypatch):
+    """Phrases by brute force over all good texts but one's own, pieces and long repeats included."""
+    from millrace.llm import suffixes
+    from millrace.llm.common import words
+
+    monkeypatch.setattr(suffixes, "PIECE", 5_000)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").filter("n_chars < 1200").limit(250).collect()]
+    near = rows[0][1].split() * 8
+    rows += [(10**6, " ".join(near)), (10**6 + 1, " ".join(near[:90] + ["other"] + near[90:])), (10**6 + 2, rows[0][1]), (10**6 + 3, "word " * 300), (10**6 + 4, "word " * 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    good = {d for i, (d, _) in enumerate(rows) if i % 2 == 0 or d >= 10**6}
+    labels = spark.createDataFrame([(d, 1) for d in sorted(good)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in cp.score(docs, labels).collect()}
+    reference = {t: "\x00".join(["", *words(t), ""]) for d, t in rows if d in good}
+    for d, t in rows:
+        others = [r for other, r in reference.items() if other != t]
+        seq, at, count = words(t), 0, 0
+        while at < len(seq):
+            k = 0
+            while at + k < len(seq) and any("\x00".join(["", *seq[at : at + k + 1], ""]) in r for r in others):
+                k += 1
+            at, count = at + max(k, 1), count + 1
+        assert (got[d].n_words, got[d].phrases) == (len(seq), count), d
+        size = sum(len(words(r)) for r in reference if r != t)
+        assert got[d].cross_bits is None or abs(got[d].cross_bits - count * np.log2(size) / len(seq)) < 1e-9
