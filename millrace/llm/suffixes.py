@@ -154,7 +154,6 @@ def build(texts: DataFrame) -> Suffixes | None:
     wide = n >= 1 << 32
     text = np.asarray(np.memmap(f"{folder}/text", np.uint64, "r"))
     at = np.sort(np.random.RandomState(1).randint(0, n, min(n, 200_000)))
-    pairs = np.unique(np.stack([text[at], text[at + 1]], axis=1)[text[at] != 0], axis=0)
     pieces = math.ceil(n / PIECE)
     drawn = np.stack([text[at], text[at + 1]], axis=1)
     drawn = drawn[np.lexsort((drawn[:, 1], drawn[:, 0]))]
