@@ -56,7 +56,7 @@ SIDES = 4
 COPY_ANCHORS = 0.3
 #: Holders of one anchor that are put in order together, at most about.
 HOLDERS = 100_000
-#: Rows of a table of busy leaves up to which it is broadcast.
+#: Rows of a table of busy leaves or of votes up to which it is broadcast.
 BROADCAST_ROWS = 200_000
 #: Words are runs of other bytes than ASCII white space.
 _TOKEN = re.compile(r"[^ \t\n\r\f\v]+")
@@ -364,31 +364,32 @@ def shared_passages(texts: DataFrame, shared: DataFrame, votes: DataFrame, passa
         return rows.groupBy(h).agg(F.min("vote").alias("a"), F.max("vote").alias("b")).filter("a <> b").select(h)
 
     sides = _voted(shared, votes).select("doc", "vote", "h1", F.explode(F.array("leaf", "h2", *(f"side{j}" for j in range(2, SIDES)))).alias("side")).filter("side <> 0")
-    wanted = sides.join(of_several(sides, "side"), "side").groupBy("doc").agg(F.collect_set("h1").alias("marks"))
+    wanted = sides.join(of_several(sides, "side"), "side").groupBy("doc").agg(F.first("vote").alias("vote"), F.collect_set("h1").alias("marks"))
 
-    def part(keys: np.ndarray, data: np.ndarray, offsets: np.ndarray, marked: pa.ListArray) -> list[np.ndarray]:
+    def part(begin: int, data: np.ndarray, offsets: np.ndarray, marked: pa.ListArray) -> np.ndarray:
         words, text, _ = tokenised(data, offsets)
-        sizes = np.bincount(text, minlength=len(keys))
+        sizes = np.bincount(text, minlength=len(marked))
         grams, least, inside = windows(words, np.repeat(np.cumsum(sizes), sizes), passage)
         owner, marks = _flat(marked)
         known = np.isin(_owned(text[inside], grams[least]), _owned(owner, marks.to_numpy(zero_copy_only=False)))
         inside = inside[known]
-        found = np.stack([keys[text[inside]], run_hashes(words, passage)[inside].view(np.int64)]) if len(inside) else np.zeros((2, 0), np.int64)
+        found = np.stack([begin + text[inside], run_hashes(words, passage)[inside].view(np.int64)]) if len(inside) else np.zeros((2, 0), np.int64)
         return np.unique(found, axis=1)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
-        data, offsets = text_buffers(batch.column(1))
-        made = [part(keys[a:z], data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a], batch.column(2).slice(a, z - a)) for a, z in portions(offsets)]
-        doc, win = np.concatenate(made, axis=1) if made else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(win), pa.array(doc)], names=["win", "doc"])
+        doc, vote = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "vote"))
+        data, offsets = text_buffers(batch.column("text"))
+        made = [part(a, data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a], batch.column("marks").slice(a, z - a)) for a, z in portions(offsets)]
+        row, win = np.concatenate(made, axis=1) if made else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(win), pa.array(doc[row]), pa.array(vote[row])], names=["win", "doc", "vote"])
 
     wanted = working_table(wanted, "line-wanted")
     held = key_filter(wanted, "doc")
     # Copies of a text fall together on the map side, so no hot text meets its marks.
     once = (texts.filter(held("doc")) if held else texts).dropDuplicates(["doc"])
-    table = working_table(map_batches(once.join(wanted.hint("merge"), "doc").select("doc", "text", "marks"), run, "win long, doc long"), "line-windows")
-    return table.join(of_several(_voted(table, votes), "win"), "win").groupBy("doc").agg(F.collect_list("win").alias("passages"))
+    # The vote travels with its text: windows are many rows, to be joined with no other table.
+    table = working_table(map_batches(once.join(wanted.hint("merge"), "doc").select("doc", "vote", "text", "marks"), run, "win long, doc long, vote long"), "line-windows")
+    return table.select("win", "doc").join(of_several(table, "win"), "win").groupBy("doc").agg(F.collect_list("win").alias("passages"))
 
 
 def boilerplate(texts: DataFrame, similarity: float, min_docs: int, short_docs: int, min_tokens: int, leading: int, passage: int | None) -> DataFrame:
@@ -397,6 +398,7 @@ def boilerplate(texts: DataFrame, similarity: float, min_docs: int, short_docs:
     lines, marks = table.filter("sig is not null"), table.filter("sig is null").drop("sig")
     shared = working_table(shared_anchors(marks), "line-anchors")
     votes = working_table(copies(shared), "line-votes")
+    votes = F.broadcast(votes) if votes.count() <= BROADCAST_ROWS else votes
     needed = F.when(F.max(F.length("sig")) > 0, min_docs).otherwise(short_docs)
     busy = working_table(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b"), needed.alias("needed")).filter("n >= needed and a <> b").select("leaf"), "line-leaves")
     kept = lines.join(F.broadcast(busy) if busy.count() <= BROADCAST_ROWS else busy, "leaf")
@@ -499,12 +501,11 @@ def drop_recurring(docs: DataFrame, text: str = "text", similarity: float = SIMI
     if min_docs < 2 or short_docs < 2:
         raise ValueError("what one document holds doesn't recur: min_docs and short_docs are 2 or more")
     key, drop, spliced = fresh(docs, "key", "drop", "passages")
-    keyed = docs.filter(quoted(text).isNotNull()).withColumn(key, F.xxhash64(quoted(text)))
-    texts = keyed.select(F.col(key).alias("doc"), quoted(text).alias("text"))
+    keyed = docs.withColumn(key, F.when(quoted(text).isNotNull(), F.xxhash64(quoted(text))))
+    texts = keyed.filter(F.col(key).isNotNull()).select(F.col(key).alias("doc"), quoted(text).alias("text"))
     drops = boilerplate(texts, similarity, min_docs, short_docs, min_tokens, leading, passage).withColumnsRenamed({"doc": key, "drop": drop, "passages": spliced})
     drops = working_table(drops, "line-drops")
     held = key_filter(drops, key)
-    joined = (keyed.filter(held(key)) if held else keyed).join(drops.hint("merge"), key, "left")
     names = docs.columns
     position = names.index(text)
     extra: list[str] = []
@@ -515,18 +516,19 @@ def drop_recurring(docs: DataFrame, text: str = "text", similarity: float = SIMI
     fields = [*docs.schema.fields]
     fields[position] = T.StructField(text, T.StringType())
     schema = T.StructType([*fields, *(T.StructField(c, T.IntegerType()) for c in extra)])
-    # Plain rows pass by; only documents that lose something go through Python.
-    loses = F.col(drop).isNotNull() | F.col(spliced).isNotNull()
-    touched = joined.filter(loses).select(*[quoted(c) for c in names], F.col(drop), F.col(spliced))
-    columns = [quoted(c) for c in names]
-    plain = joined.filter(~loses).select(*columns)
+    # Plain rows pass by; documents that may lose something are shuffled once, and those that do are rewritten.
+    loses = F.col(key).isNotNull()
     if held:
-        plain = plain.unionByName(keyed.filter(~held(key)).select(*columns))
-    plain = plain.unionByName(docs.filter(quoted(text).isNull()).select(*columns))
+        # The key of no text is any number, so that the filter sees none that is null.
+        keyed = keyed.withColumn(key, F.coalesce(key, F.lit(0)))
+        loses = quoted(text).isNotNull() & held(key)
+    columns = [quoted(c) for c in names]
+    plain = keyed.filter(~loses).select(*columns)
     if counts:
         plain = plain.select(*columns, F.when(quoted(text).isNull(), 0).otherwise(F.size(F.split(quoted(text), "\n", -1))).alias(extra[0]), F.lit(0).alias(extra[1]))
+    touched = keyed.filter(loses).join(drops.hint("merge"), key, "left").select(*columns, F.col(drop), F.col(spliced))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def cleaned(batch: pa.RecordBatch) -> pa.RecordBatch:
         columns = [batch.column(i) for i in range(len(names))]
         data, at = text_buffers(columns[position])
         texts, n, gone = [], [], []
@@ -539,4 +541,17 @@ def drop_recurring(docs: DataFrame, text: str = "text", similarity: float = SIMI
             columns += [pa.array(n, pa.int32()), pa.array(gone, pa.int32())]
         return pa.RecordBatch.from_arrays(columns, names=[*names, *extra])
 
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = [batch.column(i) for i in range(len(names))]
+        columns[position] = columns[position].cast(pa.string())
+        if counts:
+            n = pc.fill_null(pc.add(pc.count_substring(columns[position], "\n"), 1), 0)
+            columns += [n.cast(pa.int32()), pa.array(np.zeros(batch.num_rows, np.int32))]
+        return pa.RecordBatch.from_arrays(columns, names=[*names, *extra])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        loses = pc.or_(*(batch.column(i).is_valid() for i in (len(names), len(names) + 1)))
+        parts = [fn(rows) for fn, rows in ((cleaned, batch.filter(loses)), (whole, batch.filter(pc.invert(loses)))) if rows.num_rows]
+        return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
     return plain.union(map_batches(touched, run, schema))

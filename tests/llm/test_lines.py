@@ -175,3 +175,12 @@ def test_passages_within_lines_of_two_documents(spark):
     assert got[0] == f"{own[0]} {own[1]}\n{own[2]}"
     assert got[1] == f"{own[3]}\n{own[4]}\n{own[5]}"
     assert all(got[d] == rows[d][1] for d in (2, 3, 4, 5))
+
+
+def test_texts_meet_their_drops_in_one_join(spark, sf):
+    """Texts that lose lines, those that keep all and nulls: two reads of the table and one shuffle of texts."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    for passage in (None, lines.PASSAGE):
+        out = lines.drop_recurring(docs, counts=True, passage=passage)
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("SortMergeJoin") == 1 and plan.count("documents.parquet") == 2
