@@ -129,3 +129,11 @@ def test_near_duplicate_stage_loses_no_link(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()}
     assert kept == {i for i in range(len(texts)) if i % 2 == 0 or not near[i // 2]}
+
+
+def test_line_stage_writes_no_more_files_than_it_needs(spark, tmp_path):
+    """A file for texts that lose nothing and one for the others: the executor starts processes for each file."""
+    small = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    corpus_pipeline.drop_recurring_lines(spark, docs, small).write.parquet(str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").glob("part-*.parquet"))) <= 2
