@@ -27,6 +27,8 @@ from millrace.llm.common import quoted, words
 
 #: Characters of documents that one group scores, at most about.
 GROUP_CHARS = 8_000_000
+#: Documents that are parsed at once: more share a search for their word pairs, but all their words are in memory.
+SCORED_AT_ONCE = 2500
 #: Ids of good documents up to which they are broadcast.
 BROADCAST_IDS = 8_000_000
 
@@ -141,7 +143,7 @@ def _score_whole(rows: DataFrame, good: DataFrame) -> DataFrame:
     index = suffixes.build(rows.filter("text is not null").join(good, "doc_id", "left_semi").select("text").distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, SCORED_AT_ONCE) for b in batches for i in range(0, b.num_rows, SCORED_AT_ONCE)):
             ids, texts = (batch.column(c).to_pylist() for c in ("doc_id", "text"))
             whole = [i for i, t in enumerate(texts) if t is not None]
             kept = [texts[i] for i in whole]

@@ -222,21 +222,44 @@ def count_phrases(index: Suffixes, texts: list[str], hashed: list[np.ndarray]) -
     distinct, which = np.unique(flat, return_inverse=True)
     whole = np.zeros(len(distinct), np.int64)
     low1, high1 = _narrow(text, array, whole, whole + len(array), whole, distinct)
-    count, at, depth = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+    # Ranges of all leading pairs at once, each pair once and in order; a text's last word has none.
+    has = np.ones(len(flat), bool)
+    has[start[n > 0] + n[n > 0] - 1] = False
+    paired = np.flatnonzero(has)
+    pairs, inverse = np.unique(which[paired] * len(distinct) + which[paired + 1 - (len(paired) == 0)], return_inverse=True)
+    one, two = np.divmod(pairs, max(len(distinct), 1))
+    low2, high2 = _narrow(text, array, low1[one], high1[one], np.ones(len(pairs), np.int64), distinct[two])
+    rows = high2 - low2
+    # A pair that occurs once in all is no match for the text that is in the index with it.
+    matched = rows[inverse] > np.repeat(own, n)[paired]
+    pair = np.full(len(flat), -1, np.int32)
+    pair[paired[matched]] = inverse[matched]
+    stops = np.append(paired[matched], len(flat))  # words that may begin a phrase of two words or more
+    ends = start + n
+    count, at, depth = np.zeros(len(n), np.int64), start.copy(), np.zeros(len(n), np.int64)
     low, high = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
     live = np.flatnonzero(n)
     while len(live):
-        spot = start[live] + at[live]
-        d, word = depth[live], flat[spot]
+        fresh = live[depth[live] == 0]
+        if len(fresh):  # words that begin no longer phrase, known or not, are phrases of their own
+            to = np.minimum(stops[np.searchsorted(stops, at[fresh])], ends[fresh])
+            count[fresh] += to - at[fresh]
+            at[fresh] = to
+            live = live[at[live] < ends[live]]
+            if not len(live):
+                break
+        spot, d = at[live], depth[live]
         new = d == 0
-        a, b = np.where(new, low1[which[spot]], low[live]), np.where(new, high1[which[spot]], high[live])
+        known_pair = pair[spot]
+        a, b = np.where(new, low2[known_pair], low[live]), np.where(new, high2[known_pair], high[live])
         old = np.flatnonzero(~new)
         if len(old):
-            ends = (text[array[a[old]] + d[old]] == word[old]) & (text[array[b[old] - 1] + d[old]] == word[old])
-            old = old[~ends]  # ranges that the word leaves as they are need no search
-            a[old], b[old] = _narrow(text, array, a[old], b[old], d[old], word[old])
+            word = flat[spot[old]]
+            last = (text[array[a[old]] + d[old]] == word) & (text[array[b[old] - 1] + d[old]] == word)
+            old, word = old[~last], word[~last]  # ranges that the word leaves as they are need no search
+            a[old], b[old] = _narrow(text, array, a[old], b[old], d[old], word)
         good = a < b
-        mine = np.flatnonzero(good & (own_from[live] >= 0))
+        mine = np.flatnonzero(good & own[live])
         if len(mine):
             s, e = own_from[live[mine]], own_to[live[mine]]
             inside = np.ones(len(mine), bool)
@@ -247,10 +270,10 @@ def count_phrases(index: Suffixes, texts: list[str], hashed: list[np.ndarray]) -
                 p = array[a[mine[i]] : b[mine[i]]].astype(np.int64)
                 good[mine[i]] = bool(((p < s[i]) | (p >= e[i])).any())
         low[live], high[live] = a, b
-        step = good | new  # an unknown word is a phrase of its own
-        at[live] += step
-        depth[live] = np.where(good, d + 1, 0)
-        done = at[live] == n[live]
-        count[live] += ~good | done
+        # A pair that only the text itself has leaves a phrase of one word; where a longer one ends its next begins.
+        at[live] += np.where(new, 1 + good, good)
+        depth[live] = np.where(good, d + 1 + new, 0)
+        done = at[live] == ends[live]
+        count[live] += ~good | done & good
         live = live[~done]
     return count, index.n_words - np.where(own, known[place, 2].astype(np.int64), 0)

@@ -122,3 +122,28 @@ def test_every_row_against_the_whole_reference(spark, sf, monkeypatch):
         assert (got[d].n_words, got[d].phrases) == (len(seq), count), d
         size = sum(len(words(r)) for r in reference if r != t)
         assert got[d].cross_bits is None or abs(got[d].cross_bits - count * np.log2(size) / len(seq)) < 1e-9
+
+
+def test_words_without_a_longer_match_need_no_search_each(monkeypatch):
+    """Searches don't grow with the phrases of a text where these are words or pairs; counts are those of brute force."""
+    from millrace.llm import suffixes
+
+    rng = np.random.RandomState(8)
+    reference = [rng.randint(1, 40, 60).tolist() for _ in range(6)]
+    flat = np.array([w for r in reference for w in (*r, 0)] + [0] * suffixes.STRIDE, np.uint64)
+    at = np.flatnonzero(flat[: -suffixes.STRIDE])
+    names = [f"reference {i}" for i in range(6)]
+    rows = sorted((suffixes.text_hash(t), 61 * i, 60) for i, t in enumerate(names))
+    index = suffixes.Suffixes("", 360, False)
+    monkeypatch.setattr(index, "open", lambda: (flat, suffixes.sort_suffixes(flat, at).astype(np.uint32), np.array(rows, np.uint64)))
+    others = [rng.randint(1, 45, rng.randint(0, 90)).tolist() for _ in range(40)]
+    texts, words = names + [f"other {i}" for i in range(40)], reference + others
+    got, size = suffixes.count_phrases(index, texts, [np.array(w, np.uint64) for w in words])
+    want = [brute(reference[:i] + reference[i + 1 :], w) for i, w in enumerate(reference)] + [brute(reference, w) for w in others]
+    assert got.tolist() == want and size.tolist() == [300] * 6 + [360] * 40
+    calls, narrow = [], suffixes._narrow
+    monkeypatch.setattr(suffixes, "_narrow", lambda *a: calls.append(1) or narrow(*a))
+    unknown = np.arange(100, 600, dtype=np.uint64)
+    assert suffixes.count_phrases(index, ["new"], [unknown])[0].tolist() == [500]
+    pairs = np.array([x for r in reference for i in range(0, 60, 2) for x in (*r[i : i + 2], 99)], np.uint64)
+    assert suffixes.count_phrases(index, ["pairs"], [pairs])[0].tolist() == [360] and len(calls) < 200
