@@ -27,8 +27,8 @@ from millrace.llm.common import quoted, words
 
 #: Characters of documents that one group scores, at most about.
 GROUP_CHARS = 8_000_000
-#: Documents that are parsed at once: more share a search for their word pairs, but all their words are in memory.
-SCORED_AT_ONCE = 2500
+#: Words of documents that are parsed at once, or one document: more share a search for their word pairs, but take memory.
+WORDS_AT_ONCE = 1_300_000
 #: Ids of good documents up to which they are broadcast.
 BROADCAST_IDS = 8_000_000
 
@@ -138,17 +138,32 @@ def placement(shards: int, content, row):
     return own, F.pmod(own + away, F.lit(shards))
 
 
+def _portions(sizes: list[int], most: int) -> list[list[int]]:
+    """Places of texts of about equal size together, ``most`` words each time or one text: a long text alone isn't waited for by short ones."""
+    out, held = [], most + 1
+    for i in sorted(range(len(sizes)), key=sizes.__getitem__):
+        if held + sizes[i] > most:
+            out.append([])
+            held = 0
+        out[-1].append(i)
+        held += sizes[i]
+    return out
+
+
 def _score_whole(rows: DataFrame, good: DataFrame) -> DataFrame:
     """``score`` of rows (doc_id, text) against all texts of the ids in ``good``."""
     index = suffixes.build(rows.filter("text is not null").join(good, "doc_id", "left_semi").select("text").distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, SCORED_AT_ONCE) for b in batches for i in range(0, b.num_rows, SCORED_AT_ONCE)):
+        for batch in batches:
             ids, texts = (batch.column(c).to_pylist() for c in ("doc_id", "text"))
             whole = [i for i, t in enumerate(texts) if t is not None]
             kept = [texts[i] for i in whole]
             hashed = [suffixes.word_hashes(t) for t in kept]
-            phrases, sizes = suffixes.count_phrases(index, kept, hashed) if index and kept else ([len(h) for h in hashed], [0] * len(kept))
+            phrases, sizes = [len(h) for h in hashed], [0] * len(kept)
+            for part in _portions(phrases, WORDS_AT_ONCE) if index else ():
+                for i, c, size in zip(part, *suffixes.count_phrases(index, [kept[i] for i in part], [hashed[i] for i in part])):
+                    phrases[i], sizes[i] = c, size
             out: list[tuple] = [(d, *[None] * (len(NAMES) - 1)) for d in ids]
             for i, h, c, size in zip(whole, hashed, phrases, sizes):
                 n, k = len(h), lz78(h.tolist())

@@ -147,3 +147,11 @@ def test_words_without_a_longer_match_need_no_search_each(monkeypatch):
     assert suffixes.count_phrases(index, ["new"], [unknown])[0].tolist() == [500]
     pairs = np.array([x for r in reference for i in range(0, 60, 2) for x in (*r[i : i + 2], 99)], np.uint64)
     assert suffixes.count_phrases(index, ["pairs"], [pairs])[0].tolist() == [360] and len(calls) < 200
+
+
+def test_texts_of_a_size_are_parsed_together():
+    sizes = [5, 900, 1, 0, 5, 2000, 4, 900]
+    parts = cp._portions(sizes, 1000)
+    assert sorted(i for p in parts for i in p) == list(range(8)) and cp._portions([], 10) == []
+    assert all(len(p) == 1 or sum(sizes[i] for i in p) <= 1000 for p in parts)
+    assert [sizes[i] for p in parts for i in p] == sorted(sizes)
