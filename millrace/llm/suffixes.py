@@ -3,7 +3,8 @@
 Words are 64-bit hashes, texts end in a 0, so no match spans two of them.  Pieces of
 the array are sorted by one task each (a range of leading word pairs) and stand one
 after the other, so a search costs the logarithm of the collection and no worker holds
-it: pages are read from the shared folder as they are touched.
+it: pages are read from the shared folder as they are touched.  The distinct leading
+pairs stand in a table of their own, so most phrases need no search of the array.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import os
 import shutil
 import uuid
 from collections.abc import Iterator
+from contextlib import ExitStack
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -29,6 +31,8 @@ PIECE = 4_000_000
 SCAN = 1 << 22
 #: Words that tied suffixes are compared over at once, and depth from which that pays.
 STRIDE, DEEP = 32, 4
+#: Files of the table of leading pairs.
+PARTS = ("words", "pairs", "rows")
 
 
 def mounted(uri: str) -> str:
@@ -39,20 +43,21 @@ def mounted(uri: str) -> str:
     return unquote(parts.path) if parts.scheme else uri
 
 
+class _WordHashes(dict):
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) or 1
+        return h
+
+
 def word_hashes(text: str) -> np.ndarray:
     """64-bit hashes of a text's words, none of them 0."""
-    import xxhash
-
-    cache = worker_cache().setdefault("suffix_words", {})
+    cache = worker_cache().setdefault("suffix_words", _WordHashes())
     if len(cache) > 200_000:
         cache.clear()
-    out = []
-    for w in words(text):
-        h = cache.get(w)
-        if h is None:
-            h = cache[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) or 1
-        out.append(h)
-    return np.array(out, np.uint64)
+    found = words(text)
+    return np.fromiter(map(cache.__getitem__, found), np.uint64, len(found))
 
 
 def text_hash(text: str) -> int:
@@ -97,11 +102,31 @@ def _portions(first: np.ndarray, rows: int, size: int = 1 << 17) -> Iterator[tup
         at = end
 
 
+def leading_pairs(text: np.ndarray, array: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct first words, keys of the distinct leading pairs, first row of each) of sorted suffixes.
+
+    A key is the place of the first word, in ``bits`` bits, and as much of the second word
+    as it has room for: keys don't fall, but pairs of one first word may share one.
+    """
+    one, two = text[array], text[array + 1]
+    word = np.ones(len(array), bool)
+    word[1:] = one[1:] != one[:-1]
+    pair = word.copy()
+    pair[1:] |= two[1:] != two[:-1]
+    first = np.flatnonzero(pair)
+    return one[word], pair_keys(np.cumsum(word[first]) - 1, two[first], bits), first.astype(array.dtype)
+
+
+def pair_keys(place: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
+    return place.astype(np.uint64) << np.uint64(64 - bits) | second >> np.uint64(bits)
+
+
 class Suffixes:
     """What a worker needs to know to open the files."""
 
     def __init__(self, folder: str, n_words: int, wide: bool) -> None:
         self.folder, self.n_words, self.wide = folder, n_words, wide
+        self.bits = n_words.bit_length()
 
     def open(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, suffix array, rows of text hash, first position, words)."""
@@ -113,6 +138,19 @@ class Suffixes:
             held[self.folder] = text, array, texts.reshape(-1, 3)
         return held[self.folder]
 
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``leading_pairs`` of the whole array, with its end as the last row."""
+        if not self.folder:  # an array that has no files
+            text, array, _ = self.open()
+            distinct, keys, rows = leading_pairs(text, array, self.bits)
+            return distinct, keys, np.append(rows, len(array))
+        held = worker_cache().setdefault("suffix_pairs", {})
+        if self.folder not in held:
+            held.clear()
+            kinds = (("words", np.uint64), ("pairs", np.uint64), ("rows", np.int64 if self.wide else np.uint32))
+            held[self.folder] = tuple(np.asarray(np.memmap(f"{self.folder}/{name}", kind, "r")) for name, kind in kinds)
+        return held[self.folder]
+
 
 def build(texts: DataFrame) -> Suffixes | None:
     """Index of distinct texts (one column); None where they hold no word."""
@@ -152,6 +190,8 @@ def build(texts: DataFrame) -> Suffixes | None:
     index = np.concatenate(index)
     index[np.argsort(index[:, 0])].tofile(f"{folder}/texts")
     wide = n >= 1 << 32
+    whole = Suffixes(folder, n - len(index), wide)
+    bits, place = whole.bits, np.int64 if wide else np.uint32
     text = np.asarray(np.memmap(f"{folder}/text", np.uint64, "r"))
     at = np.sort(np.random.RandomState(1).randint(0, n, min(n, 200_000)))
     pieces = math.ceil(n / PIECE)
@@ -174,18 +214,31 @@ def build(texts: DataFrame) -> Suffixes | None:
                         inside &= (one < np.uint64(high[0])) | ((one == np.uint64(high[0])) & (two < np.uint64(high[1])))
                     at.append(np.flatnonzero(inside & (one != 0)) + begin)
                 name = f"piece-{uuid.uuid4().hex}"
-                sort_suffixes(text, np.concatenate(at)).astype(np.int64 if wide else np.uint32).tofile(f"{folder}/{name}")
+                array = sort_suffixes(text, np.concatenate(at)).astype(place)
+                array.tofile(f"{folder}/{name}")
+                for part, values in zip(PARTS, leading_pairs(text, array, bits)):
+                    values.tofile(f"{folder}/{name}.{part}")
                 yield pa.RecordBatch.from_pydict({"k": [k], "name": [name]})
 
     made = spark.range(0, len(cuts) - 1, 1, len(cuts) - 1).mapInArrow(sort_piece, "k long, name string").collect()
-    with open(f"{folder}/suffixes", "wb") as out:
+    begin, seen, last = 0, 0, None
+    with ExitStack() as files:
+        out, *tables = (files.enter_context(open(f"{folder}/{name}", "wb")) for name in ("suffixes", *PARTS))
         for r in sorted(made):
             with open(f"{folder}/{r.name}", "rb") as part:
                 shutil.copyfileobj(part, out, 1 << 22)
-            os.unlink(f"{folder}/{r.name}")
+            distinct, keys, rows = (np.fromfile(f"{folder}/{r.name}.{part}", kind) for part, kind in zip(PARTS, (np.uint64, np.uint64, place)))
+            again = len(distinct) > 0 and distinct[0] == last  # a word's pairs may go on in the next piece
+            keys += np.uint64(seen - again) << np.uint64(64 - bits)
+            for table, values in zip(tables, (distinct[int(again) :], keys, rows + place(begin))):
+                values.tofile(table)
+            begin, seen, last = begin + os.path.getsize(f"{folder}/{r.name}") // place().itemsize, seen + len(distinct) - again, distinct[-1] if len(distinct) else last
+            for name in (r.name, *(f"{r.name}.{part}" for part in PARTS)):
+                os.unlink(f"{folder}/{name}")
+        np.array([begin], place).tofile(tables[-1])
     for r in found:
         os.unlink(f"{folder}/{r.name}.texts")
-    return Suffixes(folder, n - len(index), wide)
+    return whole
 
 
 def _narrow(text, array, low, high, depth, word) -> tuple[np.ndarray, np.ndarray]:
@@ -205,6 +258,45 @@ def _narrow(text, array, low, high, depth, word) -> tuple[np.ndarray, np.ndarray
     return left[:k], left[k:]
 
 
+def _pair_rows(index: Suffixes, flat: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of the rows that begin with each word of ``flat`` and the next; none at the places ``last``."""
+    text, array, _ = index.open()
+    distinct, keys, rows = index.pairs()
+    # Looked up in order, so that what neighbours touch is still at hand.
+    order = np.argsort(flat)
+    ordered = flat[order]
+    found = np.minimum(np.searchsorted(distinct, ordered), len(distinct) - 1)
+    place = np.empty(len(flat), np.int64)
+    place[order] = np.where(distinct[found] == ordered, found, -1)
+    has = place >= 0
+    has[:-1] &= has[1:]
+    has[last] = False
+    paired = np.flatnonzero(has)
+    second = flat[paired + 1]
+    wanted = pair_keys(place[paired], second, index.bits)
+    order = np.argsort(wanted)
+    wanted, second = wanted[order], second[order]
+    new = np.ones(len(wanted), bool)
+    new[1:] = (wanted[1:] != wanted[:-1]) | (second[1:] != second[:-1])
+    run = np.cumsum(new) - 1
+    wanted, second = wanted[new], second[new]
+    at = np.searchsorted(keys, wanted)
+    held = np.full(len(wanted), -1)
+    todo = np.flatnonzero(at < len(keys))
+    while len(todo):  # pairs of one key stand together
+        todo = todo[keys[at[todo]] == wanted[todo]]
+        same = text[array[rows[at[todo]]] + 1] == second[todo]
+        held[todo[same]] = at[todo[same]]
+        todo = todo[~same]
+        at[todo] += 1
+        todo = todo[at[todo] < len(keys)]
+    held, paired = held[run], paired[order]
+    paired, held = paired[held >= 0], held[held >= 0]
+    low, high = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
+    low[paired], high[paired] = rows[held], rows[held + 1]
+    return low, high
+
+
 def count_phrases(index: Suffixes, texts: list[str], hashed: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(greedy longest matches that make up each text, words of the index beside its own text).
 
@@ -219,22 +311,10 @@ def count_phrases(index: Suffixes, texts: list[str], hashed: list[np.ndarray]) -
     own = known[place, 0] == keys
     own_from = np.where(own, known[place, 1].astype(np.int64), -1)
     own_to = np.where(own, own_from + known[place, 2].astype(np.int64), -1)
-    distinct, which = np.unique(flat, return_inverse=True)
-    whole = np.zeros(len(distinct), np.int64)
-    low1, high1 = _narrow(text, array, whole, whole + len(array), whole, distinct)
-    # Ranges of all leading pairs at once, each pair once and in order; a text's last word has none.
-    has = np.ones(len(flat), bool)
-    has[start[n > 0] + n[n > 0] - 1] = False
-    paired = np.flatnonzero(has)
-    pairs, inverse = np.unique(which[paired] * len(distinct) + which[paired + 1 - (len(paired) == 0)], return_inverse=True)
-    one, two = np.divmod(pairs, max(len(distinct), 1))
-    low2, high2 = _narrow(text, array, low1[one], high1[one], np.ones(len(pairs), np.int64), distinct[two])
-    rows = high2 - low2
+    low2, high2 = _pair_rows(index, flat, start[n > 0] + n[n > 0] - 1)
     # A pair that occurs once in all is no match for the text that is in the index with it.
-    matched = rows[inverse] > np.repeat(own, n)[paired]
-    pair = np.full(len(flat), -1, np.int32)
-    pair[paired[matched]] = inverse[matched]
-    stops = np.append(paired[matched], len(flat))  # words that may begin a phrase of two words or more
+    matched = np.flatnonzero(high2 - low2 > np.repeat(own, n))
+    stops = np.append(matched, len(flat))  # words that may begin a phrase of two words or more
     ends = start + n
     count, at, depth = np.zeros(len(n), np.int64), start.copy(), np.zeros(len(n), np.int64)
     low, high = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
@@ -250,13 +330,15 @@ def count_phrases(index: Suffixes, texts: list[str], hashed: list[np.ndarray]) -
                 break
         spot, d = at[live], depth[live]
         new = d == 0
-        known_pair = pair[spot]
-        a, b = np.where(new, low2[known_pair], low[live]), np.where(new, high2[known_pair], high[live])
+        a, b = np.where(new, low2[spot], low[live]), np.where(new, high2[spot], high[live])
         old = np.flatnonzero(~new)
         if len(old):
             word = flat[spot[old]]
-            last = (text[array[a[old]] + d[old]] == word) & (text[array[b[old] - 1] + d[old]] == word)
-            old, word = old[~last], word[~last]  # ranges that the word leaves as they are need no search
+            least, most = text[array[a[old]] + d[old]], text[array[b[old] - 1] + d[old]]
+            beside = (word < least) | (word > most)
+            b[old[beside]] = a[old[beside]]
+            split = ~beside & (least != most)  # ranges that the word leaves as they are, or empties, need no search
+            old, word = old[split], word[split]
             a[old], b[old] = _narrow(text, array, a[old], b[old], d[old], word)
         good = a < b
         mine = np.flatnonzero(good & own[live])
@@ -266,7 +348,8 @@ def count_phrases(index: Suffixes, texts: list[str], hashed: list[np.ndarray]) -
             for r in (a[mine], b[mine] - 1):
                 p = array[r].astype(np.int64)
                 inside &= (p >= s) & (p < e)
-            for i in np.flatnonzero(inside):
+            good[mine[inside]] = False
+            for i in np.flatnonzero(inside & (b[mine] - a[mine] > 2)):  # rows between the ends may be others'
                 p = array[a[mine[i]] : b[mine[i]]].astype(np.int64)
                 good[mine[i]] = bool(((p < s[i]) | (p >= e[i])).any())
         low[live], high[live] = a, b

@@ -155,3 +155,24 @@ def test_texts_of_a_size_are_parsed_together():
     assert sorted(i for p in parts for i in p) == list(range(8)) and cp._portions([], 10) == []
     assert all(len(p) == 1 or sum(sizes[i] for i in p) <= 1000 for p in parts)
     assert [sizes[i] for p in parts for i in p] == sorted(sizes)
+
+
+def test_leading_pairs_are_looked_up_without_a_search(spark, monkeypatch):
+    """The table of leading pairs that pieces make is that of the whole array; words and pairs are not searched in the array."""
+    from millrace.llm import suffixes
+
+    monkeypatch.setattr(suffixes, "PIECE", 300)
+    rng = random.Random(3)
+    texts = [" ".join("often" if rng.random() < 0.5 else f"w{rng.randint(0, 80)}" for _ in range(150)) for _ in range(20)]
+    index = suffixes.build(spark.createDataFrame([(t,) for t in texts], "text string"))
+    text, array, _ = index.open()
+    distinct, keys, rows = suffixes.leading_pairs(text, array, index.bits)
+    got = index.pairs()
+    assert got[0].tolist() == distinct.tolist() and got[1].tolist() == keys.tolist() and got[2].tolist() == [*rows.tolist(), len(array)]
+    pairs = {(a, b) for t in texts for a, b in zip(t.split(), t.split()[1:])}
+    assert len(rows) >= len(pairs)
+    asked = [f"{a} {b}" for a, b in sorted(pairs)] + ["new words only", "often", "w1 new w2"]
+    searched, narrow = [], suffixes._narrow
+    monkeypatch.setattr(suffixes, "_narrow", lambda *a: searched.append(len(a[2])) or narrow(*a))
+    counts = suffixes.count_phrases(index, asked, [suffixes.word_hashes(t) for t in asked])[0].tolist()
+    assert counts == [1] * len(pairs) + [3, 1, 3] and not sum(searched)
