@@ -61,8 +61,9 @@ def read_csv_auto(spark: SparkSession, path: str, infer: bool = False, multiline
 
     Quotes in quoted fields are doubled.  Fields may hold line breaks, so a file is read
     by one task; ``multiline=False`` says that none does, and large files are split.
+    The last setting keeps a NUL before a quote, which is that setting's default.
     """
-    return spark.read.csv(path, header=True, inferSchema=infer, nullValue="", emptyValue="", quote='"', escape='"', multiLine=multiline)
+    return spark.read.csv(path, header=True, inferSchema=infer, nullValue="", emptyValue="", quote='"', escape='"', charToEscapeQuoteEscaping='"', multiLine=multiline)
 
 
 def read_json_auto(spark: SparkSession, path: str) -> DataFrame:
@@ -85,12 +86,12 @@ def sqlite_scan(spark: SparkSession, path: str, table: str, partitions: int = 4)
 
 
 def write(df: DataFrame, path: str, format: str = "parquet", mode: str = "error", partition_by: list[str] | None = None) -> None:  # noqa: A002
-    """CSV (with header), JSON or Parquet."""
+    """CSV (with header; white space around values stays), JSON or Parquet."""
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if format == "csv":
-        writer.csv(path, header=True, quote='"', escape='"')
+        writer.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     elif format in ("json", "parquet", "orc"):
         writer.format(format).save(path)
     else:

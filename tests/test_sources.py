@@ -79,3 +79,17 @@ def test_sqlite_cells_of_other_types(spark, tmp_path):
         db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, n INTEGER, x REAL)")
         db.executemany("INSERT INTO t VALUES (?, ?, ?)", [(1, 5, 1.5), (2, "many", 2), (3, None, None)])
     assert sorted(map(tuple, tables.sqlite_scan(spark, path, "t").collect())) == [(1, "5", 1.5), (2, "many", 2.0), (3, None, None)]
+
+
+def test_csv_keeps_white_space_and_controls(spark, tmp_path):
+    from millrace.plans.catalogue import QUERIES
+
+    texts = [" a", "a\t ", "\n", "\r\n x", " ", 'q"\0', "\0", "\x1f", "a\rb", '",\n"', "", None]
+    langs = [" en", "en ", "", None]
+    rows = [(i, t, langs[i % 4]) for i, t in enumerate(texts)]
+    for t in tables.NAMES:
+        if t != "documents":
+            (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["read_csv_auto"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(i, t or None, lang) for i, t, lang in rows]
