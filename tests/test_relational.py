@@ -111,3 +111,17 @@ def test_plans_are_the_ones_meant(spark, sf):
     assert "ReadSchema: struct<l_quantity:double,l_extendedprice:double,l_discount:double,l_shipdate:timestamp_ntz>" in q6
     assert "TakeOrderedAndProject" in plan("topk") and "WindowGroupLimit" in plan("topk_per_group")
     assert "CartesianProduct" not in plan("join_range") and "BroadcastNestedLoopJoin" not in plan("join_range")
+
+
+def test_pairs_within_groups(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([1, 2]), rng.choice([None, *range(30)])) for _ in range(120)]
+    expected = Counter((v, w) for a, b, v in rows for c, d, w in rows if a is not None and (a, b) == (c, d) and None not in (v, w) and v < w)
+    df = frame(spark, rows, "a string, b int, v int")
+    for block in (7, 1000):
+        out = R.pairs_within(df, ["a", "b"], "v", "x", "y", block)
+        assert bag(out) == expected and out.columns == ["x", "y"]
+    # One group's pairs are the work of many tasks.
+    spread = R.pairs_within(spark.range(1000).selectExpr("id DIV 1000 AS k", "id"), ["k"], "id", "x", "y", 100)
+    tasks = spread.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert sum(r["count"] for r in tasks) == 499_500 and len(tasks) > 4
