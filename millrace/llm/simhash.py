@@ -21,9 +21,10 @@ whose ends the first pass left in different groups, so groups are those of all p
 Fingerprints are dealt to blocks and each pair of blocks is one cell of a grid.  In
 a cell the bits are cut into parts with thresholds t such that the t + 1 add up to
 radius + 1: of a pair within the radius some part differs in t bits at most, so
-looking up all values that near in each part misses none.  Runs of one part's value
-and group are passed over by queries of that group, so a large group doesn't cost
-its square.
+looking up all values that near in each part misses none.  All rows of a value are
+compared with all rows of the values near it as one table of distances, first over
+half of the bits.  A large group's rows of a value are not compared with that group,
+so it doesn't cost its square.
 
 Shard trees stay with their shard's rows instead of being broadcast: together they
 grow with the corpus, so each is built in the task that has its queries.
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fresh, map_batches, quoted, sorted_runs, text_key, words
+from millrace.llm.common import fresh, map_batches, quoted, sorted_runs, text_buffers, text_key, words
 from millrace.plans.lineage import checkpoint, working_table
 from millrace.plans.shipping import worker_cache
 
@@ -49,12 +50,12 @@ RADIUS = 40
 #: Two fingerprints at this distance meet in a shard with probability RECALL; nearer ones more surely.
 DESIGN = RADIUS
 RECALL = 0.95
-#: Fingerprints of a block at most, and blocks that a small table is cut into for the sake of parallel work.
+#: Fingerprints of a block at most, and tasks that the second pass is cut into at least, as far as its parts go.
 BLOCK_ROWS = 1 << 20
-SMALL_BLOCK_ROWS = 1 << 14
-SMALL_BLOCKS = 8
-#: Candidates that are compared at once.
-CANDIDATES_AT_ONCE = 1 << 20
+LEAST_TASKS = 16
+#: Candidates that are compared at once (their distances stay in a core's cache), and rows of a value from which a group's are taken apart.
+CANDIDATES_AT_ONCE = 1 << 17
+LARGE_GROUP = 256
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -156,11 +157,12 @@ def shard_edges(values: list[int], radius: int) -> list[tuple[int, int]]:
 
 
 def part_plan(rows: int, radius: int) -> list[tuple[int, int, int]]:
-    """(first bit, end, threshold) of parts for a search among ``rows`` fingerprints.
+    """(first bit, end, threshold) of parts for a search of ``rows`` fingerprints among as many.
 
     Of two fingerprints within the radius some part differs in its threshold at most,
     as the thresholds plus one add up to radius + 1.  More parts mean fewer values to
-    look up and more candidates; the cheapest number is taken.
+    look up and more candidates; the cheapest number is taken, in candidates (measured:
+    a value costs about as much as 6,000 of them, a look-up as 200).
     """
     best, plan = math.inf, []
     for k in range(11, 65):
@@ -172,7 +174,7 @@ def part_plan(rows: int, radius: int) -> list[tuple[int, int, int]]:
         if any(t >= b - a for a, b, t in found):
             continue
         looked = [sum(math.comb(b - a, j) for j in range(t + 1)) for a, b, t in found]
-        cost = sum(looked) + 2 * rows * sum(n / 2 ** (b - a) for n, (a, b, _) in zip(looked, found))
+        cost = sum(min(2 ** (b - a), rows) * (6000 + 200 * n) + rows * rows * n / 2 ** (b - a) for n, (a, b, t) in zip(looked, found) if t >= 0)
         if cost < best:
             best, plan = cost, [f for f in found if f[2] >= 0]
     if not plan:
@@ -186,74 +188,116 @@ def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
 
 
-def cross_pairs(left: np.ndarray, left_group: np.ndarray, right: np.ndarray, right_group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _part(fps: np.ndarray, first: int, end: int) -> np.ndarray:
+    """The bits first .. end - 1 of each fingerprint as a number."""
+    number = np.zeros(len(fps), dtype=np.int64)
+    for byte in range(first // 8, -(-end // 8)):
+        number = (number << 8) | fps[:, byte]
+    return (number >> (-end % 8)) & ((1 << (end - first)) - 1)
+
+
+def _stretches(group: np.ndarray, begin: int, end: int) -> Iterator[tuple[int, int, bool]]:
+    """(first, end, whether of one large group) of the rows begin .. end - 1, which are in order of group."""
+    if end - begin < LARGE_GROUP:
+        yield begin, end, False
+        return
+    cuts = np.flatnonzero(group[begin + 1 : end] != group[begin : end - 1]) + begin + 1
+    starts, ends = np.r_[begin, cuts], np.r_[cuts, end]
+    at = begin
+    for i in np.flatnonzero(ends - starts >= LARGE_GROUP):
+        if at < starts[i]:
+            yield at, int(starts[i]), False
+        yield int(starts[i]), int(ends[i]), True
+        at = int(ends[i])
+    if at < end:
+        yield at, end, False
+
+
+def cross_pairs(left: np.ndarray, left_group: np.ndarray, right: np.ndarray, right_group: np.ndarray, radius: int, parts: list[tuple[int, int, int]] | None = None, same: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(left rows, right rows) of all pairs within the radius and of different groups.
 
-    Fingerprints are rows of BITS // 8 bytes; a pair may come more than once.
+    Fingerprints are rows of BITS // 8 bytes; a pair may come more than once.  ``parts``
+    are those of a plan to look at (all of them together miss no pair); ``same`` says that
+    right is left, of which each pair is then looked at from one side only.
     """
-    as_words = [np.ascontiguousarray(x).view(np.uint64) for x in (left, right)]
-    flat = [np.unpackbits(x, axis=1) for x in (left, right)]
-    for first, end, threshold in part_plan(len(right), radius):
+    for first, end, threshold in part_plan(len(right), radius) if parts is None else parts:
         width = end - first
-        weights = (1 << np.arange(width)).astype(np.float64)
-        mine, theirs = ((f[:, first:end] @ weights).astype(np.int64) for f in flat)
-        order = np.lexsort((right_group, theirs))
-        value, group = theirs[order], right_group[order]
-        run = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (group[1:] != group[:-1])])
-        run_group, run_rows = group[run], np.diff(np.r_[run, len(order)])
-        at = np.searchsorted(value[run], np.arange((1 << width) + 1))
-        masks = [sum(1 << b for b in bits) for n in range(threshold + 1) for bits in combinations(range(width), n)]
-        for mask in masks:
-            wanted = mine ^ mask
+        mine, theirs = _part(left, first, end), _part(right, first, end)
+        left_order, right_order = np.lexsort((left_group, mine)), np.argsort(theirs, kind="stable")
+        # The words that the part isn't in come first: they tell most about its candidates.
+        picked = [(first // 64 + k) % (BITS // 64) for k in (2, 3, 1, 0)]
+        a, b = ([np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint64)[o, k]) for k in picked] for x, o in ((left, left_order), (right, right_order)))
+        a_group, b_group = left_group[left_order], right_group[right_order]
+        at = np.r_[0, np.cumsum(np.bincount(theirs, minlength=1 << width))]
+        values, begins = np.unique(mine[left_order], return_index=True)
+        masks = np.array([sum(1 << bit for bit in bits) for n in range(threshold + 1) for bits in combinations(range(width), n)])
+        for value, begin, stop in zip(values.tolist(), begins.tolist(), [*begins[1:].tolist(), len(mine)]):
+            wanted = value ^ masks
+            if same:
+                wanted = wanted[wanted >= value]
             low = at[wanted]
-            count = at[wanted + 1] - low
-            query = np.flatnonzero(count)
-            runs = _spread(low[query], count[query])
-            query = np.repeat(query, count[query])
-            other = run_group[runs] != left_group[query]
-            query, runs = query[other], runs[other]
-            total = np.cumsum(run_rows[runs])
-            begin = 0
-            while begin < len(runs):
-                done = total[begin - 1] if begin else 0
-                stop = max(begin + 1, int(np.searchsorted(total, done + CANDIDATES_AT_ONCE, "right")))
-                few = runs[begin:stop]
-                a = np.repeat(query[begin:stop], run_rows[few])
-                b = order[_spread(run[few], run_rows[few])]
-                near = np.bitwise_count(as_words[0][a] ^ as_words[1][b]).sum(axis=1, dtype=np.int64) <= radius
-                if near.any():
-                    yield a[near], b[near]
-                begin = stop
+            all_near = _spread(low, at[wanted + 1] - low)
+            for lower, upper, large in _stretches(a_group, begin, stop):
+                near = all_near[b_group[all_near] != a_group[lower]] if large else all_near
+                for c in range(0, len(near), CANDIDATES_AT_ONCE):
+                    some = near[c : c + CANDIDATES_AT_ONCE]
+                    columns = [b[0][some], b[1][some]]
+                    step = max(1, CANDIDATES_AT_ONCE // len(some))
+                    for r in range(lower, upper, step):
+                        last = min(r + step, upper)
+                        apart = np.bitwise_count(a[0][r:last, None] ^ columns[0])
+                        apart += np.bitwise_count(a[1][r:last, None] ^ columns[1])
+                        hit = np.flatnonzero(apart <= radius)
+                        if not len(hit):
+                            continue
+                        i, j = np.divmod(hit, len(some))
+                        i, j = i + r, some[j]
+                        other = a_group[i] != b_group[j]
+                        i, j, d = i[other], j[other], apart.ravel()[hit[other]].astype(np.int64)
+                        for k in (2, 3):
+                            d += np.bitwise_count(a[k][i] ^ b[k][j])
+                        found = d <= radius
+                        if found.any():
+                            yield left_order[i[found]], right_order[j[found]]
 
 
 def cross_edges(rooted: DataFrame, n: int, radius: int) -> DataFrame:
-    """Distinct (a, b) of roots whose groups hold fingerprints within the radius of each other; rooted has columns fp and root."""
-    blocks = max(math.ceil(n / BLOCK_ROWS), min(SMALL_BLOCKS, math.ceil(n / SMALL_BLOCK_ROWS)), 1)
+    """Distinct (a, b) of roots whose groups hold fingerprints within the radius of each other; rooted has columns fp and root.
+
+    A task looks at some parts of one cell; few cells mean few parts for each.
+    """
+    blocks = max(math.ceil(n / BLOCK_ROWS), 1)
+    plan = part_plan(math.ceil(max(n, 1) / blocks), radius)
+    shares = min(len(plan), math.ceil(LEAST_TASKS / (blocks * (blocks + 1) // 2)))
     wide = BITS // 8
     block = F.pmod(F.xxhash64("fp"), F.lit(blocks)).alias("block")
     beside = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("beside")
-    cell = (F.least("block", "beside") * blocks + F.greatest("block", "beside")).alias("cell")
-    dealt = rooted.select("fp", "root", block).select("fp", "root", "block", beside).select(cell, "block", "fp", "root")
+    low, high = F.least("block", "beside"), F.greatest("block", "beside")
+    share = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("share")
+    # Cells low <= high are numbered in a row, so each task has a partition of its own.
+    task = ((high * (high + 1) / 2).cast("long") * shares + low * shares + F.col("share")).alias("task")
+    dealt = rooted.select("fp", "root", block).select("fp", "root", "block", beside).select("*", share).select(task, (F.col("block") == high).alias("upper"), (low == high).alias("alone"), "fp", "root")
 
     def search(batches):
-        for cell, parts in sorted_runs(batches, "cell"):
-            fps, roots = (np.frombuffer(b"".join(f for p in parts for f in p.column(c).to_pylist()), np.uint8).reshape(-1, wide) for c in ("fp", "root"))
+        for task, rows in sorted_runs(batches, "task"):
+            fps, roots = (np.concatenate([text_buffers(r.column(c))[0] for r in rows]).reshape(-1, wide) for c in ("fp", "root"))
             names, group = np.unique(np.ascontiguousarray(roots).view(f"V{wide}").ravel(), return_inverse=True)
-            here = np.concatenate([p.column("block").to_numpy() for p in parts]) == cell // blocks
-            there = here if cell // blocks == cell % blocks else ~here
+            alone = rows[0].column("alone")[0].as_py()
+            here = np.concatenate([r.column("upper").to_numpy(zero_copy_only=False) for r in rows])
+            there = here if alone else ~here
             if not here.any() or not there.any():
                 continue
             found: set[tuple[int, int]] = set()
             mine, theirs = group[here], group[there]
-            for a, b in cross_pairs(fps[here], mine, fps[there], theirs, radius):
+            for a, b in cross_pairs(fps[here], mine, fps[there], theirs, radius, plan[int(task) % shares :: shares], alone):
                 pairs = np.unique(np.stack([np.minimum(mine[a], theirs[b]), np.maximum(mine[a], theirs[b])], axis=1), axis=0)
                 found.update(map(tuple, pairs.tolist()))
             if found:
                 left, right = ([names[p[i]].tobytes() for p in found] for i in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
-    # One cell is one task's work, though little data: a fixed number of partitions isn't coalesced.
-    placed = dealt.repartition(min(blocks * (blocks + 1), 20_000), "cell").sortWithinPartitions("cell")
+    tasks = min(blocks * (blocks + 1) // 2 * shares, 20_000)
+    placed = dealt.repartitionById(tasks, F.pmod("task", F.lit(tasks)).cast("int")).sortWithinPartitions("task")
     return placed.mapInArrow(search, "a binary, b binary").distinct()
 
 

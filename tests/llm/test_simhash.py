@@ -159,3 +159,22 @@ def test_followers_of_different_leaders_are_linked(spark):
     first, last = flipped(base, range(216, 256)), flipped(y, range(100, 140))
     table = spark.createDataFrame([(bytearray(f), True) for f in (base, x, y, first, last)], "fp binary, wordy boolean")
     assert len({bytes(r.root) for r in simhash._rooted(table, simhash.RADIUS, simhash.DESIGN, simhash.RECALL).collect()}) == 1
+
+
+def test_shares_of_the_second_pass_find_all_pairs(monkeypatch):
+    monkeypatch.setattr(simhash, "LARGE_GROUP", 8)
+    monkeypatch.setattr(simhash, "CANDIDATES_AT_ONCE", 50)
+    rng = np.random.default_rng(6)
+    seeds = rng.integers(0, 2, (12, 256), dtype=np.uint8)
+    flat = np.repeat(seeds, 25, axis=0) ^ (rng.random((300, 256)) < rng.choice([0.01, 0.05, 0.09], (300, 1)))
+    raw = np.packbits(flat.astype(np.uint8), axis=1)
+    group = np.where(rng.random(300) < 0.5, np.arange(300) // 25, 100 + rng.integers(0, 40, 300))
+    near = np.unpackbits(raw[:, None] ^ raw[None], axis=2).sum(axis=2, dtype=np.int64) <= simhash.RADIUS
+    wanted = {(i, j) for i, j in np.argwhere(near & (group[:, None] != group[None])).tolist() if i < j}
+    plan = simhash.part_plan(1 << 20, simhash.RADIUS)
+    assert sum(t + 1 for _, _, t in plan) == simhash.RADIUS + 1 and len(plan) >= 16
+    got = set()
+    for share in range(5):
+        for a, b in simhash.cross_pairs(raw, group, raw, group, simhash.RADIUS, plan[share::5], True):
+            got.update((min(p), max(p)) for p in zip(a.tolist(), b.tolist()))
+    assert wanted == got and len(wanted) > 500
